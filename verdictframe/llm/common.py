@@ -49,6 +49,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes above which a side of a join is shuffled instead of broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def within_bound(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, written to the shared folder and counted, marked for broadcast only if it has at most `limit` bytes."""
+    df = materialize(df, "side")
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, null_as_empty: bool = True) -> DataFrame:
     """Only (doc_id long, text string), whatever else the table holds, so that no other column can clash."""
     text = F.col(text_col).cast("string")

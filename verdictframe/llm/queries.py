@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictframe.llm import packing, token_counts, token_files
+from verdictframe.llm import language_id, media, mixing, packing, simhash, substring_dedup, token_counts, token_files, topk, toxicity
 
 #: The vocabulary that the token queries use.
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,10 +17,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest_of_every(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pack_along_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), length=2048, end_id=1)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=512)
 
@@ -30,10 +54,21 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(uri, shards)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pivot_topk": op1_pivot_topk,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_mix_sources": op3_mix_sources,
+    "op4_toxicity": op4_toxicity,
     "op5_pack_along_curve": op5_pack_along_curve,
+    "op6_simhash": op6_simhash,
+    "op7_media_chunks": op7_media_chunks,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
+    "op10_language_id": op10_language_id,
 }
 
 #: DuckDB SQL of those that SQL can express.
