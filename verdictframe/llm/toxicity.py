@@ -4,8 +4,8 @@ Two models, one of toxic and one of ordinary text, hold continuation counts of w
 stands), back off to those of words in their class, and these to the continuation counts of both classes together. Copies of a document
 add nothing to such counts. Discounts are the same share of each class's events, so a word that is rare in both falls back to the shared
 counts in both and says nothing. A document's evidence is the
-largest difference of the two log-likelihoods, normalised by length, over windows of a few words and over the whole text; a logistic
-curve fitted to labelled documents that the counts don't include turns it into a score.
+difference of the two log-likelihoods, normalised by length, over the whole text and over its most telling stretch of WINDOW words; a
+logistic curve fitted to labelled documents that the counts don't include turns their sum into a score.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from verdictframe.llm.language_id import folded
 
 #: Labelled documents that the model is fitted on, at most about so many of each class.
 FIT_DOCS = 12_000
-#: Events of the rarer class that are taken from each count: the first where there are few documents, growing with the root of their number,
-#: as chance surpluses do.
-DISCOUNT, DISCOUNT_GROWTH = 2.0, 0.16
-WINDOW = 2
+#: Events of the rarer class that are taken from each count: at least the first; growing with the root of its documents, as chance surpluses do,
+#: but no more than a share of them.
+DISCOUNT, DISCOUNT_ROOT, DISCOUNT_SHARE = 2.0, 0.5, 0.0125
+WINDOW = 1
 #: One labelled document in so many calibrates the curve instead of being counted.
 CALIBRATE = 4
 THRESHOLD = 0.3
@@ -74,7 +74,7 @@ class KneserNey:
         return at, keys[at] == wanted
 
     def evidence(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Of each row, the largest mean log-ratio of a window of words (of the whole text if it has fewer words); 0 without words."""
+        """Of each row, the mean log-ratio of its words and the largest mean of WINDOW words in a row, added; 0 without words."""
         words, at = _words(buf, off)
         out = np.zeros(len(off) - 1)
         if not len(words):
@@ -101,7 +101,7 @@ class KneserNey:
         full = ends - begin >= size[row]
         mean = np.where(full, (total[ends] - total[begin]) / np.maximum(1, size[row]), -np.inf)
         some = n > 0
-        out[some] = np.maximum.reduceat(mean, at[:-1][some])
+        out[some] = np.maximum.reduceat(mean, at[:-1][some]) + (total[at[1:][some]] - total[at[:-1][some]]) / n[some]
         return out
 
 
@@ -138,7 +138,7 @@ def fit_model(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[KneserNey
         return None, 0.0, float(np.log(prior / (1 - prior)))
     # discounts: the same share of each class's events
     rarer = min(min(pos, fit_docs), min(neg, fit_docs))
-    discount = max(DISCOUNT, DISCOUNT_GROWTH * rarer**0.5)
+    discount = max(DISCOUNT, min(DISCOUNT_ROOT * rarer**0.5, DISCOUNT_SHARE * rarer))
     least = min(sums.ct, sums.co)
     d_cont = [discount * x / least for x in (sums.ct, sums.co)]
     least = min(sums.t, sums.o)
