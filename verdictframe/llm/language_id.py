@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.common import id_text, map_blocks
+from verdictframe.llm.common import blocks, id_text, map_blocks
 
 #: Bytes of labelled text in a language's automaton, at most; and bytes of all languages' transition tables, at most.
 REFERENCE_BYTES, TABLE_BYTES = 96_000, 128 << 20
@@ -165,29 +165,45 @@ def _parser(references: dict[str, bytes]) -> CrossParser:
     return _parsers[key]
 
 
+def decide(buf: np.ndarray, off: np.ndarray, references: dict[str, bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and cost of each row; `und`, 0 and 0 where a row has no letter, or nothing was learned."""
+    n = len(off) - 1
+    names, score, bits = [UNDETERMINED] * n, np.zeros(n), np.zeros(n)
+    if references:
+        p = _parser(references)
+        best, score, bits = p.predict(buf, off)
+        names = [p.languages[i] for i in best.tolist()]
+    letter = np.concatenate([[0], np.cumsum(((buf | 32) >= 97) & ((buf | 32) <= 122))])
+    for i in np.flatnonzero(letter[off[1:]] == letter[off[:-1]]).tolist():
+        if not any(ch.isalpha() for ch in bytes(buf[off[i] : off[i + 1]]).decode("utf-8", "replace")):
+            names[i], score[i], bits[i] = UNDETERMINED, 0.0, 0.0
+    return names, score, bits
+
+
 def identify(docs: DataFrame, references: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and bits (cost in bits a byte) of every row; `und`, 0 and 0 where the text is null or has no letter, or nothing was learned."""
+    """doc_id, lang_pred, score and bits (cost in bits a byte) of every row."""
 
     def make():
         def f(batch, buf, off):
-            n = batch.num_rows
-            names, score, bits = [UNDETERMINED] * n, np.zeros(n), np.zeros(n)
-            if references:
-                p = _parser(references)
-                best, score, bits = p.predict(buf, off)
-                names = [p.languages[i] for i in best.tolist()]
-            letter = np.concatenate([[0], np.cumsum(((buf | 32) >= 97) & ((buf | 32) <= 122))])
-            plain = letter[off[1:]] > letter[off[:-1]]
-            for i in np.flatnonzero(~plain).tolist():
-                if not any(ch.isalpha() for ch in bytes(buf[off[i] : off[i + 1]]).decode("utf-8", "replace")):
-                    names[i], score[i], bits[i] = UNDETERMINED, 0.0, 0.0
-            yield pa.record_batch([batch.column(0), pa.array(names), pa.array(score), pa.array(bits), *(batch.column(i) for i in range(2, batch.num_columns))], ["doc_id", "lang_pred", "score", "bits", *batch.schema.names[2:]])
+            yield pa.record_batch([batch.column(0), *(pa.array(x) for x in decide(buf, off, references))], ["doc_id", "lang_pred", "score", "bits"])
 
         return f
 
     return map_blocks(id_text(docs, id_col, text_col), make, "doc_id long, lang_pred string, score double, bits double")
 
 
+def determined_rows(docs: DataFrame, references: dict[str, bytes], *, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, unchanged, whose language can be told; those with a null text or without a letter go."""
+
+    def run(batches):
+        for batch in batches:
+            for part, buf, off in blocks(batch, text_col):
+                names, _, _ = decide(buf, off, references)
+                yield part.filter(pa.array([n != UNDETERMINED for n in names]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score and bits of every row; learned from the rows with a language that are not held out.
 
