@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.llm.chunking import cuts
-from verdictframe.llm.common import fresh_path, id_text, map_blocks, materialize
+from verdictframe.llm.common import fresh_path, id_text, map_blocks, materialize, within_bound
 
 #: 2 ** CUT_BITS bytes are the mean length of a chunk and LONGEST the greatest.
 CUT_BITS, LONGEST = 12, 32768
@@ -31,8 +31,10 @@ RATE = 8000
 HEADER = 44
 #: Bytes that a file's entry counts in a broadcast, and how many such bytes are broadcast.
 ENTRY_BYTES, BROADCAST_BYTES = 120, 64 << 20
-STORE = "media_id string, n_bytes long, digests array<string>, data array<binary>"
-FEATURES = "media_id string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Bytes that a digest counts in a broadcast.
+DIGEST_BYTES = 24
+STORE = "media_id string, n_bytes long, digests array<binary>, data array<binary>"
+FEATURES = "media_id string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
 
 
 def wav_header(n: int) -> bytes:
@@ -70,8 +72,8 @@ def _split(media: bytes) -> list[bytes]:
     return [media[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def _digest(chunk: bytes) -> str:
-    return hashlib.blake2b(chunk, digest_size=16).hexdigest()
+def _digest(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
 def chunk_lists(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,18 +86,18 @@ def chunk_lists(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 media = to_media(raw[a:b])
                 ids.append(hashlib.sha256(media).hexdigest())
                 lists.append([_digest(c) for c in _split(media)])
-            yield pa.record_batch([batch.column(0), pa.array(ids), pa.array(np.diff(off)), pa.array(lists, pa.list_(pa.string()))], ["doc_id", "media_id", "n_bytes", "digests"])
+            yield pa.record_batch([batch.column(0), pa.array(ids), pa.array(np.diff(off)), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "media_id", "n_bytes", "digests"])
 
         return f
 
-    return map_blocks(id_text(docs, id_col, text_col), make, "doc_id long, media_id string, n_bytes long, digests array<string>")
+    return map_blocks(id_text(docs, id_col, text_col), make, "doc_id long, media_id string, n_bytes long, digests array<binary>")
 
 
 def _describe(media_id: str, media: bytes) -> tuple:
     if hashlib.sha256(media).hexdigest() != media_id:
         raise ValueError(f"media {media_id} was not read back whole")
     payload = samples(media)
-    return media_id, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), media_id, feature(payload)
+    return media_id, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), feature(payload)
 
 
 def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -112,7 +114,7 @@ def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     each = distinct.select("media_id", F.explode(F.array_distinct("digests")).alias("digest"))
     shared = each.groupBy("digest").agg(F.min("media_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
     borrowed = each.join(shared, "digest").where("media_id <> owner").groupBy("media_id").agg(F.collect_list("digest").alias("borrowed"))
-    skip = materialize(not_first.distinct().select("doc_id", "media_id", F.lit(True).alias("skip"), F.lit(None).cast("array<string>").alias("borrowed")), "media-skip")
+    skip = materialize(not_first.distinct().select("doc_id", "media_id", F.lit(True).alias("skip"), F.lit(None).cast("array<binary>").alias("borrowed")), "media-skip")
     lend = materialize(borrowed, "media-lend")
     small = (skip.count() + lend.count()) * ENTRY_BYTES <= BROADCAST_BYTES
 
@@ -137,7 +139,7 @@ def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 for column, value in zip(out, (name, b - a, digests, [None if d in others else c for d, c in zip(digests, parts)])):
                     column.append(value)
             if out[0]:
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.binary())))], ["media_id", "n_bytes", "digests", "data"])
+                yield pa.record_batch([pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary())))], ["media_id", "n_bytes", "digests", "data"])
 
         return f
 
@@ -153,7 +155,7 @@ def read_media(store: DataFrame) -> DataFrame:
     def whole(batches):
         for batch in batches:
             rows = [_describe(name, b"".join(parts)) for name, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.record_batch([pa.array(v) for v in zip(*rows)], ["media_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]) if rows else None
+            yield pa.record_batch([pa.array(v) for v in zip(*rows)], ["media_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]) if rows else None
 
     def run(batches):
         return (b for b in whole(batches) if b is not None)
@@ -165,7 +167,7 @@ def read_media(store: DataFrame) -> DataFrame:
     lacking = pieces.where("data is null").select("media_id", "at", "digest")
     asked = lacking.select("digest").distinct()
     owned = store.select(F.explode(F.arrays_zip("digests", "data")).alias("c")).where("c.data is not null").select(F.col("c.digests").alias("digest"), F.col("c.data").alias("data"))
-    lent = owned.join(asked, "digest", "left_semi").groupBy("digest").agg(F.first("data").alias("data"))
+    lent = owned.join(within_bound(asked, DIGEST_BYTES), "digest", "left_semi").groupBy("digest").agg(F.first("data").alias("data"))
     filled = pieces.where("data is not null").select("media_id", "at", "data").unionByName(lacking.join(lent, "digest").select("media_id", "at", "data"))
     mended = filled.groupBy("media_id").agg(F.array_sort(F.collect_set(F.struct("at", "data"))).alias("c")).select("media_id", F.col("c.data").alias("data"))
     return complete.mapInArrow(run, FEATURES).unionByName(mended.mapInArrow(run, FEATURES)).dropDuplicates(["media_id"])
@@ -176,5 +178,4 @@ def media_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     store gives back. Null and empty texts are payloads of 64 zero bytes; equal texts share a file; rows that repeat stay; an empty
     table gives no rows; columns besides the two named are ignored."""
     listed, store = store_media(docs, id_col=id_col, text_col=text_col)
-    described = materialize(read_media(store), "media-features")
-    return listed.join(described, "media_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return listed.join(read_media(store), "media_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("media_id").alias("media_sha256"), "feature")
