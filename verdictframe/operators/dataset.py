@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdictframe.functions.storage import materialize
 from verdictframe.operators.compiler import Compiler
 from verdictframe.plans.ir import CollectionPredicate, Comparison, DatasetRef, Expression, Not, PolicySet, Refusal, Rule
 
@@ -63,22 +64,20 @@ def plan(policies: PolicySet, row_budget: int = DEFAULT_ROW_BUDGET, cap: int = D
     return DatasetPlan(policies, tuple((p, r) for p, r, s in shaped if s == LOCAL), tuple((p, r) for p, r, s in shaped if s == AGGREGATE), row_budget, cap)
 
 
-def with_ordinal(df: DataFrame, order: str) -> DataFrame:
-    """Numbers the rows 1, 2, ... by a column, without sorting them in one task: rows are range-partitioned, counted, and numbered from prefix sums.
-
-    The column must not repeat; a window over one partition's rows numbers those.
-    """
-    from pyspark.sql import Window
-
+def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
+    """Numbers the rows 1, 2, ... by columns, without sorting them in one task: rows are range-partitioned and sorted, written once, counted
+    by partition, and numbered from prefix sums. Rows that the columns don't tell apart are numbered in either order."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    counts = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row for each partition
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed, "ordinal")
+    part = F.shiftright("_at", 33)  # the partition is above the row's place in it
+    counts = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition
     base, before = 0, []
     for p, c in counts:
         before += [F.lit(p), F.lit(base)]
         base += c
-    offset = F.create_map(*before)[F.col("_part")] if before else F.lit(0)
-    return ranged.withColumn("ordinal", F.col("_at") + offset).drop("_part", "_at")
+    offset = F.create_map(*before)[part] if before else F.lit(0)
+    return placed.withColumn("ordinal", F.col("_at").bitwiseAND((1 << 33) - 1) + offset + 1).drop("_at")
 
 
 def evaluate_dataset(df: DataFrame, the_plan: DatasetPlan, ordinal: str, document: str | None = None) -> tuple[DataFrame, DataFrame]:

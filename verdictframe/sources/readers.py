@@ -23,11 +23,11 @@ def check_budget(budget: int) -> int:
     return budget
 
 
-def read_documents(spark: SparkSession, path: str | list[str], *, budget: int = DEFAULT_BUDGET, each_row: bool = False, infer_sample: int = 0) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str], *, budget: int = DEFAULT_BUDGET, each_row: bool = False, infer_sample: int = 0, kind: str | None = None) -> DataFrame:
     """DOCUMENTS: the documents of JSON, YAML and CSV files, or a row with a refusal for what can't be read.
 
     `doc` is JSON text that keeps numbers as written; parse_json makes it a VARIANT. Files above the budget are refused by their length,
-    before their content is looked at.
+    before their content is looked at. The format is that of the extension unless `kind` names it.
     """
     from verdictframe.functions.interpreter import digest_of
 
@@ -39,19 +39,19 @@ def read_documents(spark: SparkSession, path: str | list[str], *, budget: int =
         for pdf in frames:
             out = []
             for p, raw in zip(pdf["path"], pdf["content"]):
-                kind = None
+                form = kind
                 try:
-                    kind = decoders.format_of(p)
-                    options = {"each_row": each_row, "infer_sample": infer_sample} if kind == "CSV" else {}
-                    out += [(p, d.id, kind, decoders.to_json(d.root), digest_of(d.root), None, None) for d in decoders.decode(bytes(raw), kind, **options)]
+                    form = form or decoders.format_of(p)
+                    options = {"each_row": each_row, "infer_sample": infer_sample} if form == "CSV" else {}
+                    out += [(p, d.id, form, decoders.to_json(d.root), digest_of(d.root), None, None) for d in decoders.decode(bytes(raw), form, **options)]
                 except decoders.DecodeRefusal as e:
-                    out.append((p, p, kind, None, None, e.code, e.anchor))
+                    out.append((p, p, form, None, None, e.code, e.anchor))
             yield pd.DataFrame(out, columns=["path", "resource_id", "format", "doc", "fingerprint", "refusal", "anchor"])
 
     return files.where(F.col("length") <= budget).select("path", "content").mapInPandas(run, DOCUMENTS).unionByName(too_long)
 
 
-def read_rows(spark: SparkSession, path: str | list[str], *, budget: int = DEFAULT_BUDGET) -> DataFrame:
+def read_rows(spark: SparkSession, path: str | list[str], *, budget: int = DEFAULT_BUDGET, kind: str | None = None) -> DataFrame:
     """ROWS of CSV and JSON-lines files, numbered from 1 in each file; the row at which a file is refused has the refusal instead.
 
     Follows the format's contract exactly, a file for each task; for large files without its special cases see fast_csv and fast_jsonl.
@@ -64,7 +64,7 @@ def read_rows(spark: SparkSession, path: str | list[str], *, budget: int = DEFAU
             for p, raw in zip(pdf["path"], pdf["content"]):
                 out, n = [], 0
                 try:
-                    rows = decoders.csv_rows(bytes(raw)) if decoders.format_of(p, decoders.STREAM_FORMATS) == "CSV" else decoders.jsonl_rows(bytes(raw))
+                    rows = decoders.csv_rows(bytes(raw)) if (kind or decoders.format_of(p, decoders.STREAM_FORMATS)) == "CSV" else decoders.jsonl_rows(bytes(raw))
                     for n, row in rows:
                         out.append((p, n, decoders.to_json(row), None, None))
                 except decoders.DecodeRefusal as e:
