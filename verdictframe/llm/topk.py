@@ -24,6 +24,8 @@ PIVOT_SAMPLE = 4096
 PIVOTS, ANNULI, ANNULUS_ROWS = 64, 64, 1024
 #: Vectors of a block, queries of a group, and vectors that a query's first annuli hold at least.
 BLOCK, GROUP, SEED_ROWS = 2048, 256, 1024
+#: Queries of which a task remembers the k-th best score so far.
+FLOORS = 200_000
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 64, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -232,15 +234,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return run
 
     def search(batches):
+        floor: dict[int, int] = {}  # what the k-th best of a block of this task has, for each query met; only to leave out what can't be among the k best
         for batch in batches:
             for r in batch.to_pylist():
                 qids, ids, least = (np.frombuffer(r[c], "<i8") for c in ("qids", "ids", "least"))
+                if len(floor) > FLOORS:
+                    floor.clear()
+                least = np.array([max(floor.get(x, b), b) for x, b in zip(qids.tolist(), least.tolist())], np.int64)
                 q, v = np.frombuffer(r["qv"], "<i8").reshape(len(qids), -1), np.frombuffer(r["v"], "<i8").reshape(len(ids), -1)
                 score = _products(q, v, top)
                 out: list[list[np.ndarray]] = [[], [], []]
                 for i in np.flatnonzero((score >= least[:, None]).any(axis=1)).tolist():
                     fit = np.flatnonzero((score[i] >= least[i]) & (ids != qids[i]))
                     best = fit[_top(score[i][fit], ids[fit], k)]
+                    if len(best) == k:
+                        floor[int(qids[i])] = int(score[i][best[-1]])
                     for c, x in zip(out, (np.full(len(best), qids[i]), ids[best], score[i][best])):
                         c.append(x)
                 if out[0]:
