@@ -249,12 +249,11 @@ _TALLY_RULES = (
     dsl.rule("absent-optional", require=dsl.optional_root("l_comment").text().eq_text("")),
     dsl.rule("flag-as-number", require=dsl.root("l_returnflag").number().gt(0)),
 )
-_LINE = F.col("l_orderkey") * 8 + F.col("l_linenumber")
 
 
 def _numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
-    return df.select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", _LINE.alias("n"))
+    return df.select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("n"))
 
 
 _LINE_SQL = "(SELECT *, l_orderkey * 8 + l_linenumber AS n FROM lineitem)"
@@ -288,7 +287,7 @@ def ds_budget_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "ds_metrics",
-    "SELECT least(count(*), 800) AS rows_consumed, CAST(1 + greatest(0, count(*) FILTER (event_type = 'click' AND event_id < 800) - 10) AS BIGINT) AS rows_refused, CAST(800 AS BIGINT) AS budget_limit, CAST(2 AS BIGINT) AS accumulators_used FROM events",
+    "SELECT least(count(*), 800) AS rows_consumed, CAST(1 + greatest(0, count(*) FILTER (event_type = 'click' AND event_id < 800) - 10) + CASE WHEN coalesce(min(event_id) FILTER (event_type = 'click'), 800) < 10 THEN 0 ELSE 790 END AS BIGINT) AS rows_refused, CAST(800 AS BIGINT) AS budget_limit, CAST(2 AS BIGINT) AS accumulators_used FROM events",
 )
 def ds_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = (dsl.rule("count", require=dsl.count_of(_DATA, _CLICK).expression), dsl.rule("any", require=dsl.any_of(_DATA, _CLICK)), dsl.rule("value", require=dsl.root("value").number().gte(0)))
