@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; longer texts are handled alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes of a record batch that Spark hands to a worker, so that long texts don't come by thousands.
+BATCH_BYTES = 8 << 20
 _U64 = np.uint64
 _local_dir: str | None = None
 
@@ -93,6 +95,28 @@ def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES)
         at = to
 
 
+_worker_tables: dict[str, tuple[object, object]] = {}
+
+
+def worker_table(kind: str, key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps between tasks (a vocabulary, automata): one thing at a time, since workers outlive the operators that use them."""
+    held = _worker_tables.get(kind)
+    if held is None or held[0] != key:
+        _worker_tables.clear()
+        held = _worker_tables[kind] = (key, make())
+    return held[1]
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Record batches of at most BATCH_BYTES from now on in this session, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        if not 0 < int(str(spark.conf.get(name)).rstrip("bB")) <= BATCH_BYTES:
+            spark.conf.set(name, BATCH_BYTES)
+    except Exception:  # noqa: BLE001  a Spark without this setting bounds batches by rows only
+        return
+
+
 def map_blocks(df: DataFrame, make: Callable[[], Callable], schema: str, text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
     """mapInArrow over blocks of text. make() runs once for each task and gives f(batch, buffer, offsets) -> record batches,
     or f and a function that gives what is left at the task's end."""
@@ -100,6 +124,7 @@ def map_blocks(df: DataFrame, make: Callable[[], Callable], schema: str, text: s
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(target)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = make()

@@ -8,12 +8,14 @@ together; a phrase ends with its stretch.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.common import blocks, id_text, map_blocks
+from verdictframe.llm.common import blocks, bound_batches, id_text, map_blocks, worker_table
 
 #: Bytes of labelled text in a language's automaton, at most; and bytes of all languages' transition tables, at most.
 REFERENCE_BYTES, TABLE_BYTES = 96_000, 128 << 20
@@ -39,34 +41,36 @@ def folded(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_automaton(text: bytes) -> list[dict[int, int]]:
-    """Transitions of the smallest automaton that reads every substring of `text` from state 0."""
-    step: list[dict[int, int]] = [{}]
+def suffix_automaton(text: list[int], width: int) -> np.ndarray:
+    """Next states (rows) by symbol (columns) of the smallest automaton that reads every substring of `text` from state 0; -1: none.
+
+    Built state by state in one flat table, of which a state copies a row.
+    """
+    step = array("i", [-1]) * (2 * max(1, len(text)) * width)
     link, length, last = [-1], [0], 0
     for c in text:
-        cur = len(step)
-        step.append({})
+        cur = len(link)
         link.append(0)
         length.append(length[last] + 1)
         p = last
-        while p >= 0 and c not in step[p]:
-            step[p][c] = cur
+        while p >= 0 and step[p * width + c] < 0:
+            step[p * width + c] = cur
             p = link[p]
         if p >= 0:
-            q = step[p][c]
+            q = step[p * width + c]
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
-                twin = len(step)
-                step.append(dict(step[q]))
+                twin = len(link)
+                step[twin * width : (twin + 1) * width] = step[q * width : (q + 1) * width]
                 link.append(link[q])
                 length.append(length[p] + 1)
                 link[q] = link[cur] = twin
-                while p >= 0 and step[p].get(c) == q:
-                    step[p][c] = twin
+                while p >= 0 and step[p * width + c] == q:
+                    step[p * width + c] = twin
                     p = link[p]
         last = cur
-    return step
+    return np.frombuffer(step, np.int32).reshape(-1, width)[: len(link)].copy()
 
 
 class CrossParser:
@@ -83,16 +87,10 @@ class CrossParser:
         self.tables, self.cost = [], []
         for g in self.languages:
             text = texts[g][: max(1, room)]
-            step = suffix_automaton(text)
+            table = suffix_automaton(self.symbol[np.frombuffer(text, np.uint8)].tolist(), self.width)
             # where the automaton can't read on, a phrase ends and the next begins with this byte: next state * width * 2 + phrase ended
-            start = np.ones(self.width, np.int64)
-            for c, to in step[0].items():
-                start[self.symbol[c]] = to * self.width * 2 + 1
-            table = np.tile(start, (len(step), 1))
-            for s, out in enumerate(step):
-                for c, to in out.items():
-                    table[s, self.symbol[c]] = to * self.width * 2
-            self.tables.append(table.ravel().astype(np.int32))
+            start = np.where(table[0] >= 0, table[0], 0) * (self.width * 2) + 1
+            self.tables.append(np.where(table >= 0, table * (self.width * 2), start).ravel())
             self.cost.append(np.log2(len(text) + 1))
 
     def phrases(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -154,15 +152,8 @@ def learn(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc_id", te
     return {g: t[:REFERENCE_BYTES] for g, t in out.items()}
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
 def _parser(references: dict[str, bytes]) -> CrossParser:
-    key = hash(tuple(sorted(references.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(references)
-    return _parsers[key]
+    return worker_table("cross-parser", hash(tuple(sorted(references.items()))), lambda: CrossParser(references))
 
 
 def decide(buf: np.ndarray, off: np.ndarray, references: dict[str, bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -201,6 +192,7 @@ def determined_rows(docs: DataFrame, references: dict[str, bytes], *, text_col:
                 names, _, _ = decide(buf, off, references)
                 yield part.filter(pa.array([n != UNDETERMINED for n in names]))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-from verdictframe.llm.common import SliceHasher, ranges
+from verdictframe.llm.common import SliceHasher, ranges, worker_table
 
 LETTER, NUMBER, SPACE, WHITE, OTHER, UNKNOWN = range(6)
 #: Ends of the contractions that the pattern takes after an apostrophe; fixed values.
@@ -215,11 +215,6 @@ class WordEncoder(Splitter):
         return ids, bounds + extra
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(tokenizer_path: str) -> WordEncoder:
     """This worker's encoder; workers are used again, and their caches with them."""
-    if tokenizer_path not in _encoders:
-        _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
-    return _encoders[tokenizer_path]
+    return worker_table("encoder", tokenizer_path, lambda: WordEncoder(tokenizer_path))

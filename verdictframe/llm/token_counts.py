@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verdictframe.llm.common import id_text, map_blocks
+from verdictframe.llm.common import id_text, map_blocks, worker_table
 from verdictframe.llm.pretoken import Splitter
 
 #: Bytes of a chunk.
@@ -179,15 +179,10 @@ class CountingTransducer(Splitter):
         return total + np.bincount(np.repeat(row, n_chunks), count, minlength=rows).astype(np.int64)
 
 
-_made: dict[tuple, CountingTransducer] = {}
-
-
 def transducer(tokenizer_path: str, chunk: int = CHUNK, max_states: int = MAX_STATES) -> CountingTransducer:
     """This worker's transducer; its states stay for later tasks."""
     key = (tokenizer_path, chunk, max_states)
-    if key not in _made:
-        _made[key] = CountingTransducer(*key)
-    return _made[key]
+    return worker_table("transducer", key, lambda: CountingTransducer(*key))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
