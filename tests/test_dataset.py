@@ -30,6 +30,13 @@ def test_shapes_and_refusals():
         dataset.plan(one(dsl.rule("r", require=field.gt(1))), row_budget=0)
 
 
+def test_dataset_digest():
+    import hashlib
+
+    spec = dataset.DatasetSpec("orders", "CSV")
+    assert spec.digest == hashlib.sha256(b"orders|CSV|row|false").hexdigest()[:16] != dataset.DatasetSpec("orders", "CSV", requires_global_index=True).digest
+
+
 def fold(rows, rule, budget, cap):
     """The outcome by reading row after row."""
     e = rule.expression

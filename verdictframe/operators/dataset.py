@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,21 @@ LOCAL, AGGREGATE, GLOBAL = 0, 1, 2
 DEFAULT_ROW_BUDGET = DEFAULT_CAP = 10_000_000
 
 
+@dataclass(frozen=True)
+class DatasetSpec:
+    """A named data set and what its rows are."""
+
+    id: str
+    format: str
+    kind: str = "row"
+    requires_global_index: bool = False
+
+    @property
+    def digest(self) -> str:
+        text = "|".join((self.id, self.format, self.kind, "true" if self.requires_global_index else "false"))
+        return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
 def _contains_dataset(e: Expression) -> bool:
     if isinstance(e, DatasetRef):
         return True
