@@ -22,7 +22,7 @@ from verdictframe.llm.language_id import folded
 FIT_DOCS = 12_000
 #: Events of the rarer class that are taken from each count: at least the first; growing with the root of its documents, as chance surpluses do,
 #: but no more than a share of them.
-DISCOUNT, DISCOUNT_ROOT, DISCOUNT_SHARE = 2.0, 0.5, 0.0125
+DISCOUNT, DISCOUNT_ROOT, DISCOUNT_SHARE = 5.0, 0.5, 0.0125
 WINDOW = 1
 #: One labelled document in so many calibrates the curve instead of being counted.
 CALIBRATE = 4
