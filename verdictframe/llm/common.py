@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -117,9 +118,19 @@ def bound_batches(spark: SparkSession) -> None:
         return
 
 
-def map_blocks(df: DataFrame, make: Callable[[], Callable], schema: str, text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
+def drop_tables(keep: str | None = None) -> None:
+    """Free what the worker keeps for other operators, and give freed memory back to the machine."""
+    for kind in [k for k in _worker_tables if k != keep]:
+        del _worker_tables[kind]
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
+def map_blocks(df: DataFrame, make: Callable[[], Callable], schema: str, text: str = "text", limit: int = BLOCK_BYTES, keep: str | None = None) -> DataFrame:
     """mapInArrow over blocks of text. make() runs once for each task and gives f(batch, buffer, offsets) -> record batches,
-    or f and a function that gives what is left at the task's end."""
+    or f and a function that gives what is left at the task's end. `keep` names the worker_table that make() uses, if any."""
     target = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -127,6 +138,7 @@ def map_blocks(df: DataFrame, make: Callable[[], Callable], schema: str, text: s
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables(keep)
         made = make()
         f, last = made if isinstance(made, tuple) else (made, None)
 
@@ -140,6 +152,7 @@ def map_blocks(df: DataFrame, make: Callable[[], Callable], schema: str, text: s
         for out in parts():
             if out.num_rows:
                 yield out.cast(arrow) if out.schema != arrow else out
+        drop_tables(keep)
 
     return df.mapInArrow(run, schema)
 

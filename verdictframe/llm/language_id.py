@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.common import blocks, bound_batches, id_text, map_blocks, worker_table
+from verdictframe.llm.common import blocks, bound_batches, drop_tables, id_text, map_blocks, worker_table
 
 #: Bytes of labelled text in a language's automaton, at most; and bytes of all languages' transition tables, at most.
 REFERENCE_BYTES, TABLE_BYTES = 96_000, 128 << 20
@@ -180,13 +180,14 @@ def identify(docs: DataFrame, references: dict[str, bytes], *, id_col: str = "do
 
         return f
 
-    return map_blocks(id_text(docs, id_col, text_col), make, "doc_id long, lang_pred string, score double, bits double")
+    return map_blocks(id_text(docs, id_col, text_col), make, "doc_id long, lang_pred string, score double, bits double", keep="cross-parser")
 
 
 def determined_rows(docs: DataFrame, references: dict[str, bytes], *, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, unchanged, whose language can be told; those with a null text or without a letter go."""
 
     def run(batches):
+        drop_tables("cross-parser")
         for batch in batches:
             for part, buf, off in blocks(batch, text_col):
                 names, _, _ = decide(buf, off, references)

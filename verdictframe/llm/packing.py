@@ -171,4 +171,4 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, *, length: int = 2048
 
         return f, packer.finish
 
-    return map_blocks(ordered, make, PIECES)
+    return map_blocks(ordered, make, PIECES, keep="encoder")

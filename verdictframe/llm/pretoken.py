@@ -150,6 +150,7 @@ class WordEncoder(Splitter):
 
     def __init__(self, tokenizer_path: str) -> None:
         super().__init__(tokenizer_path)
+        self.spec = None  # the library's own copy is enough
         self._clear()
 
     def _clear(self) -> None:

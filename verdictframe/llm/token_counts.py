@@ -202,4 +202,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 512, id_c
 
         return f
 
-    return map_blocks(id_text(docs, id_col, text_col), make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_blocks(id_text(docs, id_col, text_col), make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", keep="transducer")

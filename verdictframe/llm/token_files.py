@@ -81,7 +81,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, uri: str | None =
 
     source = id_text(docs, id_col, text_col)
     ordered = source.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows = sorted((r.shard, r.name, r.bits, r.documents, r.tokens) for r in map_blocks(ordered, make, SHARDS).collect())
+    rows = sorted((r.shard, r.name, r.bits, r.documents, r.tokens) for r in map_blocks(ordered, make, SHARDS, keep="encoder").collect())
     base, table = 0, []
     for r in rows:
         table.append((*r, base))
