@@ -488,7 +488,7 @@ def findings_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scan_query(name: str, kind: str) -> None:
-    @register(name, "SELECT count(*) AS n_rows, sum(event_id) AS ids, count(*) FILTER (event_type = 'click') AS clicks, CAST(0 AS BIGINT) AS refusals FROM events")
+    @register(name, "SELECT count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS ids, count(*) FILTER (event_type = 'click') AS clicks, CAST(0 AS BIGINT) AS refusals FROM events")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from verdictframe.sources import readers
 
