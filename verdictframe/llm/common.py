@@ -122,6 +122,7 @@ def drop_tables(keep: str | None = None) -> None:
     """Free what the worker keeps for other operators, and give freed memory back to the machine."""
     for kind in [k for k in _worker_tables if k != keep]:
         del _worker_tables[kind]
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

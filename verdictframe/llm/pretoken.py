@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 
@@ -19,8 +20,8 @@ LETTER, NUMBER, SPACE, WHITE, OTHER, UNKNOWN = range(6)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Distinct pretokens that a worker keeps with their ids; beyond it the cache starts anew.
 CACHE_WORDS = 1 << 21
-#: Texts longer than this are handled in pieces that end where a pretoken must end.
-LONG_TEXT = 8 << 20
+#: Pretokens that the library encodes at once.
+LEARN_WORDS = 16384
 
 
 class Splitter:
@@ -160,10 +161,14 @@ class WordEncoder(Splitter):
         self.pool = np.empty(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        got = [e.ids for e in getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)(words, add_special_tokens=False)]
-        count = np.fromiter(map(len, got), np.int64, len(got))
-        pool = np.fromiter((i for ids in got for i in ids), np.uint32, int(count.sum()))
-        slot = np.concatenate([self.slot, np.arange(len(got)) + len(self.at) - 1])
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        counts, pools = [], []
+        for k in range(0, len(words), LEARN_WORDS):
+            got = [e.ids for e in encode(words[k : k + LEARN_WORDS], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+            pools.append(np.fromiter(chain.from_iterable(got), np.uint32, int(counts[-1].sum())))
+        count, pool = np.concatenate(counts), np.concatenate(pools)
+        slot = np.concatenate([self.slot, np.arange(len(count)) + len(self.at) - 1])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(count)])
         self.pool = np.concatenate([self.pool, pool])
         keys = np.concatenate([self.keys, keys])
