@@ -70,16 +70,15 @@ def test_media(docs, texts):
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), media.feature(payload)) and media.samples(stored) == payload
 
 
-def test_media_chunks_are_stored_once(spark, monkeypatch):
-    monkeypatch.setattr(media, "CUT_BITS", 6)
+def test_media_chunks_are_stored_once(spark):
     shared = prose(50, 400)
     rows = [(i, prose(60 + i, 30) + shared + prose(70 + i, 30)) for i in range(5)] + [(9, shared), (10, shared), (10, shared), (11, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    _, store = media.store_media(df)
+    _, store = media.store_media(df, bits=6)
     stored = [bytes(c) for r in store.dropDuplicates(["media_id"]).collect() for c in r.data if c is not None]
     total = sum(len(media.to_media((t or "").encode())) for _, t in rows)
     assert sum(map(len, stored)) < total / 2 and store.where("exists(data, c -> c is null)").count() >= 4
-    got = media.media_features(df).collect()
+    got = media.media_features(df, bits=6).collect()
     assert len(got) == 9
     for r in got:
         text = dict(rows)[r.doc_id] or ""

@@ -141,15 +141,20 @@ def brute_spans(texts: dict[int, str]):
     seen, spans = {}, []
     for i in sorted(texts):
         raw = (texts[i] or "").encode()
-        run = None
+        run = []
         for a, b in [*brute_chunks(raw), (len(raw) + 1, len(raw) + 2)]:
             first = seen.setdefault(raw[a:b], (i, a)) if b <= len(raw) else (i, a)
             if first != (i, a):
-                run = (run[0], b) if run and run[1] == a else (a, b)
-            elif run:
-                if run[1] - run[0] >= substring_dedup.MIN_BYTES:
-                    spans.append((i, run[0], run[1] - run[0]))
-                run = None
+                run.append((a, b))
+                continue
+            short = lambda c: c[1] - c[0] < substring_dedup.EDGE and c[0] > 0 and c[1] < len(raw)  # noqa: B023, E731
+            while run and short(run[0]):
+                run.pop(0)
+            while run and short(run[-1]):
+                run.pop()
+            if run and run[-1][1] - run[0][0] >= substring_dedup.MIN_BYTES:
+                spans.append((i, run[0][0], run[-1][1] - run[0][0]))
+            run = []
     return sorted(spans)
 
 
@@ -159,8 +164,8 @@ def test_repeated_spans(docs, texts):
     got = substring_dedup.repeated_spans(part).collect()
     assert sorted((r.doc_id, r.start, r.length) for r in got) == brute_spans(short)
     for r in got:
-        a, b = texts[r.doc_id].encode()[r.start :][:8], texts[r.first_doc_id].encode()[r.first_start :][:8]
-        assert a[:4] == b[:4]
+        n = substring_dedup.EDGE
+        assert texts[r.doc_id].encode()[r.at :][:n] == texts[r.first_doc_id].encode()[r.first_start :][:n] and r.start <= r.at < r.start + r.length
 
 
 def test_shared_passages_are_found_after_insertions(spark):
@@ -172,6 +177,17 @@ def test_shared_passages_are_found_after_insertions(spark):
     assert kept[1] == rows[0][1] and kept[9] == rows[-1][1] and all(len(kept[i]) < len(rows[i - 1][1]) - 200 for i in (2, 3, 4, 5))
 
 
+def test_rows_that_share_a_doc_id_are_cut_each_for_itself(spark):
+    a, b, c = prose(500, 60), prose(501, 60), prose(502, 60)
+    rows = [(1, a + " " + b), (2, c), (2, b + " " + c), (2, b + " " + c), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substring_dedup.repeated_spans(df).collect()
+    kept = [(r.doc_id, r.text) for r in substring_dedup.remove_repeats(df).collect()]
+    assert len({r.tag for r in spans}) >= 1 and (None, a) in kept and len(kept) == 5
+    for i, t in kept:
+        assert any(i == j and (t == u or len(t) < len(u)) for j, u in rows)
+
+
 def test_removal_of_odd_rows(odd_docs, docs):
     kept = substring_dedup.remove_repeats(odd_docs, length_col="n_chars")
     assert kept.columns == odd_docs.columns

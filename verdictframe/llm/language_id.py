@@ -88,9 +88,11 @@ class CrossParser:
         for g in self.languages:
             text = texts[g][: max(1, room)]
             table = suffix_automaton(self.symbol[np.frombuffer(text, np.uint8)].tolist(), self.width)
-            # where the automaton can't read on, a phrase ends and the next begins with this byte: next state * width * 2 + phrase ended
-            start = np.where(table[0] >= 0, table[0], 0) * (self.width * 2) + 1
-            self.tables.append(np.where(table >= 0, table * (self.width * 2), start).ravel())
+            # entries: next state * width * 2 + whether a phrase begins. Where the automaton can't read on, one begins with this byte;
+            # the state after the last is that before a text, and after a byte that the language doesn't have
+            before = len(table)
+            start = np.where(table[0] >= 0, table[0], before) * (self.width * 2) + 1
+            self.tables.append(np.concatenate([np.where(table >= 0, table * (self.width * 2), start).ravel(), start]))
             self.cost.append(np.log2(len(text) + 1))
 
     def phrases(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -105,8 +107,8 @@ class CrossParser:
         at, row, length = at[order], row[order], length[order]
         live = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1 if len(length) else 1), side="right")
         out = np.zeros((rows, len(self.languages)))
-        state = [np.zeros(len(at), np.int64) for _ in self.tables]
-        count = [np.ones(len(at), np.int64) for _ in self.tables]
+        state = [np.full(len(at), len(t) - self.width, np.int64) for t in self.tables]
+        count = [np.zeros(len(at), np.int64) for _ in self.tables]
         for k, m in enumerate(live.tolist()):
             c = code[at[:m] + k]
             for t, s, x in zip(self.tables, state, count):

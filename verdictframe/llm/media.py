@@ -66,9 +66,9 @@ def feature(payload: bytes) -> str:
     return f"mean={total / n:.4f};rms={max(0.0, square / n - (total / n) ** 2) ** 0.5:.4f};crossings={int((above[1:] != above[:-1]).sum())};bands=" + ",".join(map(str, bands.tolist()))
 
 
-def _split(media: bytes) -> list[bytes]:
+def _split(media: bytes, bits: int = CUT_BITS) -> list[bytes]:
     buf = np.frombuffer(media, np.uint8)
-    ends = cuts(buf, np.array([0, len(buf)]), CUT_BITS, LONGEST).tolist()
+    ends = cuts(buf, np.array([0, len(buf)]), bits, LONGEST).tolist()
     return [media[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
@@ -76,7 +76,7 @@ def _digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def chunk_lists(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunk_lists(docs: DataFrame, *, bits: int = CUT_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, media_id (the file's SHA-256), n_bytes and digests (in order) of every row."""
 
     def make():
@@ -85,7 +85,7 @@ def chunk_lists(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                 media = to_media(raw[a:b])
                 ids.append(hashlib.sha256(media).hexdigest())
-                lists.append([_digest(c) for c in _split(media)])
+                lists.append([_digest(c) for c in _split(media, bits)])
             yield pa.record_batch([batch.column(0), pa.array(ids), pa.array(np.diff(off)), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "media_id", "n_bytes", "digests"])
 
         return f
@@ -100,12 +100,12 @@ def _describe(media_id: str, media: bytes) -> tuple:
     return media_id, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), feature(payload)
 
 
-def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def store_media(docs: DataFrame, *, bits: int = CUT_BITS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, store): the media column of every row (doc_id, media_id, n_bytes), and the written store (STORE).
 
     Of the files with the same bytes one is stored. `data` holds a file's chunks in order, null where another file owns the chunk.
     """
-    listed = materialize(chunk_lists(docs, id_col=id_col, text_col=text_col), "chunk-lists")
+    listed = materialize(chunk_lists(docs, bits=bits, id_col=id_col, text_col=text_col), "chunk-lists")
     files = listed.groupBy("media_id").agg(F.min("doc_id").alias("owner_doc"), F.count(F.lit(1)).alias("n"))
     copies = files.where("n > 1")
     # rows whose file another row stores, and chunks that another file owns
@@ -134,7 +134,7 @@ def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 if any(e["skip"] for e in mine):
                     continue
                 others = {d for e in mine for d in e["borrowed"] or []}
-                parts = _split(media)
+                parts = _split(media, bits)
                 digests = [_digest(c) for c in parts]
                 for column, value in zip(out, (name, b - a, digests, [None if d in others else c for d, c in zip(digests, parts)])):
                     column.append(value)
@@ -173,9 +173,9 @@ def read_media(store: DataFrame) -> DataFrame:
     return complete.mapInArrow(run, FEATURES).unionByName(mended.mapInArrow(run, FEATURES)).dropDuplicates(["media_id"])
 
 
-def media_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def media_features(docs: DataFrame, *, bits: int = CUT_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of every row, from what the
     store gives back. Null and empty texts are payloads of 64 zero bytes; equal texts share a file; rows that repeat stay; an empty
     table gives no rows; columns besides the two named are ignored."""
-    listed, store = store_media(docs, id_col=id_col, text_col=text_col)
+    listed, store = store_media(docs, bits=bits, id_col=id_col, text_col=text_col)
     return listed.join(read_media(store), "media_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("media_id").alias("media_sha256"), "feature")

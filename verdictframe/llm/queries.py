@@ -22,7 +22,7 @@ def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("tag")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Texts are cut where a gear rolling hash of the last bytes says so, so an insertion moves only the cuts near it. Chunks are compared by
 a 64-bit digest and their length. Of the places where a chunk stands, the first (by doc_id, then position) keeps it and the others
-repeat it; neighbouring repeats make a span, and spans of at least `min_bytes` are removed. Only digests are shuffled, aggregated on the
+repeat it; neighbouring repeats make a span, which begins and ends with a chunk of at least EDGE bytes or with its text, since shorter
+ones may be common by chance, and spans of at least `min_bytes` are removed. Only digests are shuffled, aggregated on the
 map side first, so a chunk that stands in a third of all documents is no heavier than another.
 """
 
@@ -14,14 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.llm.chunking import cuts
-from verdictframe.llm.common import SliceHasher, as_signed, id_text, map_blocks, materialize, within_bound
+from verdictframe.llm.common import BROADCAST_BYTES, SliceHasher, as_signed, id_text, map_blocks, materialize
 
 #: 2 ** CUT_BITS bytes are the mean length of a chunk; LONGEST is the greatest, MIN_BYTES the least that a removed span has.
 CUT_BITS, LONGEST, MIN_BYTES = 5, 512, 96
+EDGE = 12
 
 
 def chunks(docs: DataFrame, *, bits: int = CUT_BITS, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, length (bytes of the UTF-8 text) and digest of every chunk of every row."""
+    """doc_id, tag, start, length (bytes of the UTF-8 text), digest, and last (whether its text ends there) of every chunk of every row.
+
+    The tag is 0 where every doc_id stands for one row, and else a hash of the row's text, so that rows which share a doc_id stay apart.
+    """
+    source = id_text(docs, id_col, text_col)
+    alone = source.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    tagged = source.select("doc_id", "text", (F.lit(0).cast("long") if alone else F.xxhash64("text")).alias("tag"))
 
     def make():
         def f(batch, buf, off):
@@ -31,37 +39,37 @@ def chunks(docs: DataFrame, *, bits: int = CUT_BITS, longest: int = LONGEST, id_
             digest = as_signed(SliceHasher(buf).of(begin, end))
             at = np.searchsorted(begin, off)
             lists = lambda v, t: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v, t))
-            yield pa.record_batch([batch.column(0), lists((begin - off[row]), pa.int64()), lists(end - begin, pa.int32()), lists(digest, pa.int64())], ["doc_id", "start", "length", "digest"])
+            yield pa.record_batch([batch.column(0), batch.column(2), lists((begin - off[row]), pa.int64()), lists(end - begin, pa.int32()), lists(digest, pa.int64()), lists(end == off[row + 1], pa.bool_())], ["doc_id", "tag", "start", "length", "digest", "last"])
 
         return f
 
-    made = map_blocks(id_text(docs, id_col, text_col), make, "doc_id long, start array<long>, length array<int>, digest array<long>")
-    return made.select("doc_id", F.explode(F.arrays_zip("start", "length", "digest")).alias("c")).select("doc_id", "c.start", "c.length", "c.digest")
+    made = map_blocks(tagged, make, "doc_id long, tag long, start array<long>, length array<int>, digest array<long>, last array<boolean>")
+    return made.select("doc_id", "tag", F.explode(F.arrays_zip("start", "length", "digest", "last")).alias("c")).select("doc_id", "tag", "c.start", "c.length", "c.digest", "c.last")
 
 
 def repeated_chunks(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, start, length, first_doc_id, first_start: chunks that stand earlier too, in another document or in their own."""
+    """doc_id, tag, start, length, last, first_doc_id, first_start: chunks that stand earlier too, in another document or in their own."""
     found = chunks(docs, **options)
-    first = found.groupBy("digest", "length").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = found.groupBy("digest", "length").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = found.join(first.select("digest", "length", "first"), ["digest", "length"])
-    return later.where("not (doc_id <=> first.doc_id and start = first.start)").select("doc_id", "start", "length", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    return later.where("not (doc_id <=> first.doc_id and tag = first.tag and start = first.start)").select("doc_id", "tag", "start", "length", "last", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
 def repeated_spans(docs: DataFrame, *, min_bytes: int = MIN_BYTES, **options) -> DataFrame:
-    """One row for each span to remove: doc_id, start, length (bytes), chunks, and first_doc_id, first_start, where its first chunk stands first.
+    """One row for each span to remove: doc_id, tag, start, length (bytes), chunks, and at, first_doc_id, first_start: where its longest
+    chunk stands, here and first.
 
-    Null and empty texts have no chunks. Of rows that share a doc_id, each is cut alike only if their texts are equal; equal chunks at
-    equal places of rows that share a doc_id count as one place. A document's chunks that repeat are gathered by document, so what
-    is gathered is bounded by the length of one text.
+    Null and empty texts have no chunks. Rows with the same doc_id and text are one place: none of them repeats another. A document's
+    chunks that repeat are gathered by document, so what is gathered is bounded by the length of one text.
     """
     later = repeated_chunks(docs, **options)
-    per = later.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "first_doc_id", "first_start"))).alias("c"))
+    per = later.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", "length", "last", "first_doc_id", "first_start"))).alias("c"))
 
     def run(batches):
         for batch in batches:
-            ids, c = batch.column(0), batch.column(1)
+            ids, tags, c = batch.column(0), batch.column(1), batch.column(2)
             flat = c.flatten()
-            start, length, fdoc, fstart = (flat.field(i) for i in range(4))
+            start, length, final, fdoc, fstart = (flat.field(i) for i in range(5))
             start, length = start.to_numpy(zero_copy_only=False), length.to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(start):
                 continue
@@ -70,14 +78,23 @@ def repeated_spans(docs: DataFrame, *, min_bytes: int = MIN_BYTES, **options) ->
             new = np.ones(len(start), bool)
             new[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
             head = np.flatnonzero(new)
-            last = np.maximum.reduceat(end, head)
-            n = np.diff(np.append(head, len(start)))
-            pick = last - start[head] >= min_bytes
-            head, last, n = head[pick], last[pick], n[pick]
-            take = pa.array(head)
-            yield pa.record_batch([ids.take(pa.array(row[head])), pa.array(start[head]), pa.array(last - start[head]), pa.array(n), fdoc.take(take), fstart.take(take)], ["doc_id", "start", "length", "chunks", "first_doc_id", "first_start"])
+            i = np.arange(len(start))
+            edge = (length >= EDGE) | (start == 0) | final.to_numpy(zero_copy_only=False).astype(bool)
+            first = np.minimum.reduceat(np.where(edge, i, len(i)), head)
+            last = np.maximum.reduceat(np.where(edge, i, -1), head)
+            first, last = first[last >= 0], last[last >= 0]
+            keep = end[last] - start[first] >= min_bytes
+            first, last = first[keep], last[keep]
+            if not len(first):
+                continue
+            # the longest chunk of each run, the first of several
+            run_of = np.cumsum(new) - 1
+            best = np.lexsort((i, -length, run_of))[np.flatnonzero(new)]  # one for each run, in order
+            best = best[run_of[first]]
+            owner, take = pa.array(row[first]), pa.array(best)
+            yield pa.record_batch([ids.take(owner), tags.take(owner), pa.array(start[first]), pa.array(end[last] - start[first]), pa.array(last - first + 1), pa.array(start[best]), fdoc.take(take), fstart.take(take)], ["doc_id", "tag", "start", "length", "chunks", "at", "first_doc_id", "first_start"])
 
-    return per.mapInArrow(run, "doc_id long, start long, length long, chunks long, first_doc_id long, first_start long")
+    return per.mapInArrow(run, "doc_id long, tag long, start long, length long, chunks long, at long, first_doc_id long, first_start long")
 
 
 #: Bytes that a span counts in a broadcast.
@@ -91,10 +108,11 @@ def remove_repeats(docs: DataFrame, *, min_bytes: int = MIN_BYTES, id_col: str =
     length of the new text.
     """
     spans = materialize(repeated_spans(docs, min_bytes=min_bytes, id_col=id_col, text_col=text_col, **options), "spans")
-    per = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans")).withColumnRenamed("doc_id", "_doc")
-    side = materialize(per, "spans")
-    small = spans.count() * SPAN_BYTES <= (64 << 20)
-    joined = docs.join(F.broadcast(side) if small else side, F.col(id_col).cast("long") == F.col("_doc"), "left")
+    per = spans.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans")).withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
+    side = materialize(per.withColumn("_doc", F.lit(True)), "spans")
+    small = spans.count() * SPAN_BYTES <= BROADCAST_BYTES
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & ((F.col("_tag") == 0) | (F.col("_tag") == F.xxhash64(F.col(text_col).cast("string"))))
+    joined = docs.join(F.broadcast(side) if small else side, same, "left")
     # what lies between the spans, cut from the bytes of the text
     raw = F.encode(F.col(text_col), "utf-8")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["start"] + s["length"]))

@@ -144,7 +144,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         parts = int(np.clip(len(own) * n / len(sample) // ANNULUS_ROWS, 1, ANNULI))
         edges.append(sorted({float(own[len(own) * i // parts]) for i in range(1, parts)}))
     annuli = Annuli(edges)
-    slack = 1e-6 * (1 + np.sqrt(top))
+    slack, seed_rows = 1e-6 * (1 + np.sqrt(top)), SEED_ROWS
 
     def keyed(batches):
         for batch in batches:
@@ -223,7 +223,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                     else:  # nearest first, until enough vectors lie in them
                         order = np.argsort(reach, axis=1, kind="stable")
                         held = np.cumsum(annuli.count[order], axis=1)
-                        take = np.concatenate([np.ones((len(q), 1), bool), held[:, :-1] < SEED_ROWS], axis=1)
+                        take = np.concatenate([np.ones((len(q), 1), bool), held[:, :-1] < seed_rows], axis=1)
                         need = np.zeros_like(take)
                         np.put_along_axis(need, order, take, axis=1)
                         need &= annuli.count > 0
