@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step handles; longer texts are handled alone.
 BLOCK_BYTES = 2 << 20
 #: Bytes of a record batch that Spark hands to a worker, so that long texts don't come by thousands.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _U64 = np.uint64
 _local_dir: str | None = None
 

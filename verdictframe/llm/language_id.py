@@ -79,26 +79,33 @@ class CrossParser:
     def __init__(self, references: dict[str, bytes]) -> None:
         self.languages = sorted(references)
         texts = {g: folded(np.frombuffer(references[g], np.uint8)).tobytes() for g in self.languages}
-        used = sorted(set().union(*texts.values())) if texts else []
-        self.symbol = np.full(256, len(used), np.int64)  # bytes that no language has share the last symbol
-        self.symbol[used] = np.arange(len(used))
-        self.width = len(used) + 1
-        room = TABLE_BYTES // max(1, len(texts)) // (8 * self.width)  # an automaton has up to twice as many states as bytes, of 4 bytes each
-        self.tables, self.cost = [], []
+        self.symbols, self.widths, self.tables, self.cost = [], [], [], []
         for g in self.languages:
+            # each language has its own alphabet; bytes that it doesn't have share the last symbol
+            used = sorted(set(texts[g]))
+            symbol, width = np.full(256, len(used), np.uint8 if len(used) < 256 else np.uint16), len(used) + 1
+            symbol[used] = np.arange(len(used))
+            room = TABLE_BYTES // len(texts) // (8 * width)  # an automaton has up to twice as many states as bytes, of 4 bytes each
             text = texts[g][: max(1, room)]
-            table = suffix_automaton(self.symbol[np.frombuffer(text, np.uint8)].tolist(), self.width)
+            table = suffix_automaton(symbol[np.frombuffer(text, np.uint8)].tolist(), width)
             # entries: next state * width * 2 + whether a phrase begins. Where the automaton can't read on, one begins with this byte;
             # the state after the last is that before a text, and after a byte that the language doesn't have
             before = len(table)
-            start = np.where(table[0] >= 0, table[0], before) * (self.width * 2) + 1
-            self.tables.append(np.concatenate([np.where(table >= 0, table * (self.width * 2), start).ravel(), start]))
+            start = np.where(table[0] >= 0, table[0], before) * (width * 2) + 1
+            flat = np.empty((before + 1) * width, np.int32)
+            np.multiply(table.ravel(), width * 2, out=flat[:-width])
+            none = np.flatnonzero(flat[:-width] < 0)
+            flat[none] = start[none % width]
+            flat[-width:] = start
+            self.symbols.append(symbol)
+            self.widths.append(width)
+            self.tables.append(flat)
             self.cost.append(np.log2(len(text) + 1))
 
     def phrases(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Phrases of each row (first axis) for each language (second axis)."""
         rows, size = len(off) - 1, np.diff(off)
-        code = self.symbol[folded(buf)]
+        text = folded(buf)
         n = -(-size // STRETCH)
         row = np.repeat(np.arange(rows), n)
         at = np.repeat(off[:-1], n) + STRETCH * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
@@ -107,12 +114,12 @@ class CrossParser:
         at, row, length = at[order], row[order], length[order]
         live = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1 if len(length) else 1), side="right")
         out = np.zeros((rows, len(self.languages)))
-        state = [np.full(len(at), len(t) - self.width, np.int64) for t in self.tables]
+        state = [np.full(len(at), len(t) - w, np.int64) for t, w in zip(self.tables, self.widths)]
         count = [np.zeros(len(at), np.int64) for _ in self.tables]
         for k, m in enumerate(live.tolist()):
-            c = code[at[:m] + k]
-            for t, s, x in zip(self.tables, state, count):
-                got = t[s[:m] + c]
+            c = text[at[:m] + k]
+            for t, symbol, s, x in zip(self.tables, self.symbols, state, count):
+                got = t[s[:m] + symbol[c]]
                 x[:m] += got & 1
                 s[:m] = got >> 1
         for j, x in enumerate(count):
