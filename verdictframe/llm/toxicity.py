@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.common import SliceHasher, as_signed, id_text, map_blocks, materialize, mix64
+from verdictframe.llm.common import SliceHasher, as_signed, id_text, map_blocks, materialize, mix64, within_bound
 from verdictframe.llm.language_id import folded
 
 #: Labelled documents that the model is fitted on, at most about so many of each class.
@@ -27,6 +27,8 @@ WINDOW = 1
 #: One labelled document in so many calibrates the curve instead of being counted.
 CALIBRATE = 4
 THRESHOLD = 0.3
+#: Bytes that a label counts in a broadcast.
+LABEL_BYTES = 24
 
 
 def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,17 +107,18 @@ class KneserNey:
         return out
 
 
-def fit_model(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[KneserNey | None, float, float]:
-    """The model and the curve's slope and intercept, from (doc_id, text, toxic) rows; of many, a sample by hash, bounded for each class."""
-    rows = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+def fit_model(source: DataFrame, marks: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[KneserNey | None, float, float]:
+    """The model and the curve's slope and intercept, from (doc_id, text) and (doc_id, toxic) rows; of many labels, a sample by hash of the
+    doc_id, bounded for each class and drawn before any text is joined."""
+    rows = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     pos, neg = rows.get(1, 0), rows.get(0, 0)
     prior = (pos + 1) / (pos + neg + 2)
     if not pos or not neg:
         return None, 0.0, float(np.log(prior / (1 - prior)))
     step = F.when(F.col("toxic") == 1, F.lit(max(1, pos // fit_docs))).otherwise(F.lit(max(1, neg // fit_docs)))
-    h = F.xxhash64(F.lit(5), "doc_id", "text")
-    sample = labelled.where(F.pmod(h, step) == 0).select("doc_id", "text", "toxic", (F.pmod(F.shiftrightunsigned(h, 20), F.lit(CALIBRATE)) == 0).alias("held"))
-    sample = materialize(sample, "toxicity-sample")
+    h = F.xxhash64(F.lit(5), "doc_id")
+    drawn = marks.where(F.pmod(h, step) == 0).select("doc_id", "toxic", (F.pmod(F.shiftrightunsigned(h, 20), F.lit(CALIBRATE)) == 0).alias("held"))
+    sample = materialize(source.join(within_bound(drawn, LABEL_BYTES), "doc_id").select("doc_id", "text", "toxic", "held"), "toxicity-sample")
 
     def make():
         def f(batch, buf, off):
@@ -130,7 +133,7 @@ def fit_model(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[KneserNey
         return f
 
     triples = map_blocks(sample.where("not held").select("doc_id", "text", "toxic"), make, "u long, v long, w long, toxic long")
-    parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     once = triples.repartition(parts, "v", "w").groupBy("v", "w", "u").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("o"))
     pairs = materialize(once.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "toxicity-pairs")
     sums = pairs.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum((F.col("t") > 0).cast("long")).alias("ct"), F.sum((F.col("o") > 0).cast("long")).alias("co"), F.count(F.lit(1)).alias("c")).first()
@@ -207,8 +210,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """
     source = id_text(docs, id_col, text_col)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).cast("long").alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
-    labelled = source.where(~held_out("doc_id")).join(marks, "doc_id")
-    model, slope, intercept = fit_model(labelled, fit_docs)
+    model, slope, intercept = fit_model(source, materialize(marks.where(~held_out("doc_id")), "toxicity-labels"), fit_docs)
     scored = _evidence(source, model) if model is not None else source.select("doc_id", F.lit(0.0).alias("evidence"))
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(slope) * F.col("evidence") + F.lit(intercept))))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), F.when(score >= THRESHOLD, 1).otherwise(0).alias("predicted"))
