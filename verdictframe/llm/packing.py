@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.llm.common import SliceHasher, id_text, lower_ascii, map_blocks, word_spans
-from verdictframe.llm.pretoken import encoder
+from verdictframe.llm.pretoken import ENCODE_BYTES, encoder
 
 #: Dimensions of the hashed vectors, and bits of each in the key.
 DIMS, BITS = 4, 12
@@ -171,4 +171,4 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, *, length: int = 2048
 
         return f, packer.finish
 
-    return map_blocks(ordered, make, PIECES, keep="encoder")
+    return map_blocks(ordered, make, PIECES, limit=ENCODE_BYTES, keep="encoder")

@@ -20,6 +20,8 @@ LETTER, NUMBER, SPACE, WHITE, OTHER, UNKNOWN = range(6)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Distinct pretokens that a worker keeps with their ids; beyond it the cache starts anew.
 CACHE_WORDS = 1 << 21
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 1 << 20
 #: Pretokens that the library encodes at once.
 LEARN_WORDS = 16384
 
@@ -156,8 +158,8 @@ class WordEncoder(Splitter):
 
     def _clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
-        self.slot = np.empty(0, np.int64)
-        self.at = np.zeros(1, np.int64)
+        self.slot = np.empty(0, np.uint32)
+        self.at = np.zeros(1, np.uint32)
         self.pool = np.empty(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
@@ -168,8 +170,8 @@ class WordEncoder(Splitter):
             counts.append(np.fromiter(map(len, got), np.int64, len(got)))
             pools.append(np.fromiter(chain.from_iterable(got), np.uint32, int(counts[-1].sum())))
         count, pool = np.concatenate(counts), np.concatenate(pools)
-        slot = np.concatenate([self.slot, np.arange(len(count)) + len(self.at) - 1])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(count)])
+        slot = np.concatenate([self.slot, np.arange(len(self.at) - 1, len(self.at) - 1 + len(count), dtype=np.uint32)])
+        self.at = np.concatenate([self.at, (int(self.at[-1]) + np.cumsum(count)).astype(np.uint32)])
         self.pool = np.concatenate([self.pool, pool])
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
@@ -206,7 +208,8 @@ class WordEncoder(Splitter):
             self._learn(known[missing], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[pick].tolist(), end[pick].tolist())])
             at = np.searchsorted(self.keys, known)
         slot = self.slot[at]
-        n_of, from_ = np.diff(self.at)[slot], self.at[slot]
+        from_ = self.at[slot].astype(np.int64)
+        n_of = self.at[slot + 1].astype(np.int64) - from_
         count = n_of[back]
         ids = self.pool[ranges(from_[back], count)]
         where = np.searchsorted(start, off)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.llm.common import fresh_path, id_text, map_blocks, open_store
-from verdictframe.llm.pretoken import encoder
+from verdictframe.llm.pretoken import ENCODE_BYTES, encoder
 
 NULL_ID = np.iinfo(np.int64).min
 SHARDS = "shard long, name string, bits int, documents long, tokens long, base long"
@@ -81,7 +81,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, uri: str | None =
 
     source = id_text(docs, id_col, text_col)
     ordered = source.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows = sorted((r.shard, r.name, r.bits, r.documents, r.tokens) for r in map_blocks(ordered, make, SHARDS, keep="encoder").collect())
+    rows = sorted((r.shard, r.name, r.bits, r.documents, r.tokens) for r in map_blocks(ordered, make, SHARDS, limit=ENCODE_BYTES, keep="encoder").collect())
     base, table = 0, []
     for r in rows:
         table.append((*r, base))
