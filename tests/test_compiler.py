@@ -42,10 +42,13 @@ def test_documents_agree_with_the_interpreter(spark):
     for k in range(0, len(rules), 15):
         part = dsl.policy_set("s", dsl.policy("p", *rules[k : k + 15]))
         got |= {(int(r.resource_id), r.rule_id): (r.outcome, r.code, r.location, r.message, r.expected) for r in evaluate.evaluate(df, part, "id", document="doc").collect()}
+    compiler = Compiler(df.schema, "doc")
+    short = {(row.id, rules[k].id): row[f"o{k}"] for row in df.select("id", *[compiler.outcome(r).alias(f"o{k}") for k, r in enumerate(rules)]).collect() for k in range(len(rules))}
     for i, d in enumerate(docs):
         tree = parse_json(d)[0]
         for r in rules:
             e = evaluate_rule(r, tree)
+            assert short[i, r.id] == e.outcome, (d, r)
             v = e.violations[0] if e.violations else None
             want = (e.outcome, *((v.code, v.location, v.message, v.expected) if v else (None,) * 4))
             assert got[i, r.id] == want, (d, r)

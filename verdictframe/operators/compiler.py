@@ -151,11 +151,24 @@ class _Cases:
         return reduce(lambda c, r: c.when(*r), rest, F.when(*first)).otherwise(end)
 
 
+def _mapped(state: Column, names: dict[str, str]) -> Column:
+    """Another name for each state, with the state's expression in the plan once."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), state)
+
+
 class Compiler:
     """Compiles rules against the schema of a data set's rows, or against a VARIANT column that holds the rows or documents."""
 
-    def __init__(self, schema: T.StructType, document: str | None = None) -> None:
+    def __init__(self, schema: T.StructType, document: str | None = None, diagnostics: bool = True) -> None:
         self.schema, self.document = schema, document
+        #: Without diagnostics a state is its name alone, which keeps plans of many rules small.
+        self.diagnostics = diagnostics
+
+    def state(self, st: str, *details) -> Column:
+        return _state(st, *details) if self.diagnostics else F.lit(st)
+
+    def error(self, loc: Path, msg: str | Column, exp: str, act: str | Column) -> Column:
+        return _error(loc, msg, exp, act) if self.diagnostics else F.lit("ERR")
 
     def root(self, path: Path) -> Node | None:
         if self.document is not None:
@@ -174,14 +187,14 @@ class Compiler:
             return literal_node(e.value)
         if isinstance(e, FieldRef):
             node = self.root(e.path)
-            gone = _state("MO" if e.optional else "MR", "MISSING_REQUIRED_VALUE", dotted(e.path))
+            gone = self.state("MO" if e.optional else "MR", "MISSING_REQUIRED_VALUE", dotted(e.path))
             if node is None:
                 cases.add(True, gone)
                 return None
             if node.present is not None:
                 cases.add(~node.present, gone)
             found = node.tag()
-            bad = lambda got: _error(e.path, F.concat(F.lit(f"expected {e.expected} at {dotted(e.path)}, got "), got), e.expected, got)
+            bad = lambda got: self.error(e.path, F.concat(F.lit(f"expected {e.expected} at {dotted(e.path)}, got "), got), e.expected, got)
             if not node.variant and tag_of_type(node.kind) != e.expected and e.expected != NULL:
                 cases.add(True, bad(found))
                 return None
@@ -189,7 +202,7 @@ class Compiler:
             return node
         if isinstance(e, CollectionPredicate):
             if e.op != "COUNT":
-                cases.add(True, _error(location_of(e), f"{e.op} produces a Boolean and cannot be a numeric operand", "COUNT:Number", f"{e.op}:Boolean"))
+                cases.add(True, self.error(location_of(e), f"{e.op} produces a Boolean and cannot be a numeric operand", "COUNT:Number", f"{e.op}:Boolean"))
                 return None
             source = self.value(e.source, cases)
             if source is None:
@@ -200,13 +213,13 @@ class Compiler:
             array, _, element = elements
             return Node(T.LongType(), F.size(F.filter(array, lambda x: matches(e.predicate, element(x)))).cast("long"))
         if isinstance(e, Not):
-            cases.add(True, _error(location_of(e), "boolean negation cannot be a numeric operand", "Number", "Not:Boolean"))
+            cases.add(True, self.error(location_of(e), "boolean negation cannot be a numeric operand", "Number", "Not:Boolean"))
             return None
         raise Refusal("NOT_EVALUABLE", f"{type(e).__name__} can't be a value of a row")
 
     def _elements(self, node: Node, loc: Path, message: str, cases: _Cases):
         """(array, keys, element -> node) of a collection, or None if it can't be one."""
-        bad = lambda got: _error(loc, F.concat(F.lit(message), got), "Sequence|Mapping", got)
+        bad = lambda got: self.error(loc, F.concat(F.lit(message), got), "Sequence|Mapping", got)
         if node.known:
             raise Refusal("NOT_EVALUABLE", "a literal is no collection of rows' values; write its size")
         found = node.tag()
@@ -236,13 +249,15 @@ class Compiler:
         """The state of a boolean expression."""
         if isinstance(e, Literal):
             if isinstance(e.value, bool):
-                return _state("T" if e.value else "F")
-            return _error((), f"boolean expression cannot be coerced from {tag(e.value)}", "Boolean", tag(e.value))
+                return self.state("T" if e.value else "F")
+            return self.error((), f"boolean expression cannot be coerced from {tag(e.value)}", "Boolean", tag(e.value))
         if isinstance(e, FieldRef):
-            return _error(e.path, "field reference is not a boolean expression on its own", "Boolean", "FieldRef")
+            return self.error(e.path, "field reference is not a boolean expression on its own", "Boolean", "FieldRef")
         if isinstance(e, Not):
             body = self.boolean(e.body)
-            return F.when(body["st"] == "T", _state("F")).when(body["st"] == "F", _state("T")).otherwise(body)
+            if not self.diagnostics:
+                return _mapped(body, {"T": "F", "F": "T", "MR": "MR", "MO": "MO", "CPF": "CPF", "ERR": "ERR"})
+            return F.when(body["st"] == "T", self.state("F")).when(body["st"] == "F", self.state("T")).otherwise(body)
         if isinstance(e, Comparison):
             return self._comparison(e)
         if isinstance(e, CollectionPredicate):
@@ -254,10 +269,10 @@ class Compiler:
         left = self.value(e.left, cases)
         right = self.value(e.right, cases) if left is not None else None
         if left is None or right is None:
-            return cases.otherwise(_state("F"))
+            return cases.otherwise(self.state("F"))
         kind, name, word = {"TEXT_EQUALS": (TEXT, "textEquals", "Text"), "BOOLEAN_EQUALS": (BOOLEAN, "booleanEquals", "Boolean")}.get(e.op, (NUMBER, "comparison", "Number"))
         for side, node, at in (("LHS", left, e.left), ("RHS", right, e.right)):
-            wrong = lambda got: _error(location_of(at), F.concat(F.lit(f"{name} {side} must be {word}, got "), got), word, got)  # noqa: B023, E731
+            wrong = lambda got: self.error(location_of(at), F.concat(F.lit(f"{name} {side} must be {word}, got "), got), word, got)  # noqa: B023, E731
             expected = at.expected if isinstance(at, FieldRef) else None  # already of this tag, or refused above
             if node.known or expected is not None:
                 got = tag(node.literal) if node.known else expected
@@ -267,39 +282,39 @@ class Compiler:
             elif kind != NUMBER:
                 cases.add(True, wrong(F.lit(NUMBER)))
         if cases.closed is not None:
-            return cases.otherwise(_state("F"))
+            return cases.otherwise(self.state("F"))
         if kind == NUMBER:
             for node, at in ((left, e.left), (right, e.right)):
-                unfit = _error(location_of(at), "non-finite numeric values cannot be compared", "finite Number", number_text(node))
+                unfit = self.error(location_of(at), "non-finite numeric values cannot be compared", "finite Number", number_text(node))
                 if node.known:
                     cases.add(not node.literal.finite, unfit)
                 elif isinstance(node.kind, T.FractionalType) and not isinstance(node.kind, T.DecimalType):
                     cases.add(F.isnan(node.column) | (F.abs(node.column) == float("inf")), unfit)
             if cases.closed is not None:
-                return cases.otherwise(_state("F"))
+                return cases.otherwise(self.state("F"))
             holds = compare_numbers(left, e.op, right)
         else:
             holds = _scalar(left, kind) == _scalar(right, kind)
-        return cases.otherwise(F.when(F.coalesce(holds, F.lit(False)), _state("T")).otherwise(_state("F")))
+        return cases.otherwise(F.when(F.coalesce(holds, F.lit(False)), self.state("T")).otherwise(self.state("F")))
 
     def _collection(self, e: CollectionPredicate) -> Column:
         if e.op == "COUNT":
-            return _error(location_of(e), "COUNT produces a Number and must be used in a numeric comparison", "Boolean-valued collection predicate", "COUNT:Number")
+            return self.error(location_of(e), "COUNT produces a Number and must be used in a numeric comparison", "Boolean-valued collection predicate", "COUNT:Number")
         cases = _Cases()
         source = self.value(e.source, cases)
         found = self._elements(source, location_of(e.source), "CollectionPredicate source must be Sequence or Mapping, got ", cases) if source is not None else None
         if found is None:
-            return cases.otherwise(_state("F"))
+            return cases.otherwise(self.state("F"))
         array, keys, element = found
         match = lambda x: matches(e.predicate, element(x))
         if e.op == "ALL":
             failing = F.filter(F.transform(array, lambda x, i: F.when(match(x), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
             key = F.get(keys, F.get(failing, F.lit(0)))
             prefix = dotted(location_of(e.source))
-            failed = _state("CPF", "COLLECTION_PREDICATE_FAILED", F.concat(F.lit(prefix + "." if prefix else ""), key), F.concat(F.lit("all: predicate failed at "), key))
-            return cases.otherwise(F.when(F.forall(array, match), _state("T")).otherwise(failed))
+            failed = self.state("CPF", "COLLECTION_PREDICATE_FAILED", F.concat(F.lit(prefix + "." if prefix else ""), key), F.concat(F.lit("all: predicate failed at "), key))
+            return cases.otherwise(F.when(F.forall(array, match), self.state("T")).otherwise(failed))
         holds = F.exists(array, match)
-        return cases.otherwise(F.when(holds if e.op == "ANY" else ~holds, _state("T")).otherwise(_state("F")))
+        return cases.otherwise(F.when(holds if e.op == "ANY" else ~holds, self.state("T")).otherwise(self.state("F")))
 
     # rules
 
@@ -316,9 +331,21 @@ class Compiler:
         text = number_text(node) if e.left.expected == NUMBER else _scalar(node, e.left.expected).cast("string")
         return F.when(node.has() & (node.tag() == e.left.expected), text)
 
-    def rule(self, r: Rule) -> Column:
-        """struct(outcome, code, location, message, expected, actual) of a rule: PASSED, VIOLATED, NOT_APPLICABLE or ERROR."""
-        body = self.boolean(r.expression)
+    def outcome(self, r: Rule) -> Column:
+        """The outcome of a rule alone."""
+        slim = self if not self.diagnostics else Compiler(self.schema, self.document, False)
+        main = _mapped(slim.boolean(r.expression), {"T": "PASSED", "F": "VIOLATED", "MR": "VIOLATED", "CPF": "VIOLATED", "MO": "NOT_APPLICABLE", "ERR": "ERROR"})
+        if r.applies_when is None:
+            return main
+        gate = slim.boolean(r.applies_when)
+        return F.when(gate == "T", main).otherwise(_mapped(gate, {"F": "NOT_APPLICABLE", "MR": "NOT_APPLICABLE", "MO": "NOT_APPLICABLE", "CPF": "ERROR", "ERR": "ERROR"}))
+
+    def rule(self, r: Rule, body: Column | None = None, gate: Column | None = None) -> Column:
+        """struct(outcome, code, location, message, expected, actual) of a rule: PASSED, VIOLATED, NOT_APPLICABLE or ERROR.
+
+        `body` and `gate` are columns that hold the states of its expressions already, so that a plan has these once.
+        """
+        body = self.boolean(r.expression) if body is None else body
         result = lambda outcome, *v: F.struct(F.lit(outcome).alias("outcome"), *[(x if isinstance(x, Column) else F.lit(x).cast("string")).alias(n) for n, x in zip(("code", "location", "message", "expected", "actual"), v)])
         none = (None,) * 5
         error = lambda s: result("ERROR", s["code"], s["loc"], s["msg"], s["exp"], s["act"])
@@ -331,7 +358,7 @@ class Compiler:
         )
         if r.applies_when is None:
             return main
-        gate = self.boolean(r.applies_when)
+        gate = self.boolean(r.applies_when) if gate is None else gate
         return F.when(gate["st"] == "T", main).when(gate["st"].isin("F", "MR", "MO"), result("NOT_APPLICABLE", *none)).otherwise(error(gate))
 
     def matches_row(self, predicate: Selector) -> Column:

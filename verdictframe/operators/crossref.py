@@ -22,7 +22,7 @@ def tally_by(df: DataFrame, policies: PolicySet, *keys: str) -> DataFrame:
     """keys, rule_id, passed, violated, not_applicable, errors: outcomes of row rules for each group, in one aggregate without an explode of rows."""
     compiler = Compiler(df.schema)
     rules = policies.rules()
-    marked = df.select(*keys, *[compiler.rule(r)["outcome"].alias(f"_o{i}") for i, (_, r) in enumerate(rules)])
+    marked = df.select(*keys, *[compiler.outcome(r).alias(f"_o{i}") for i, (_, r) in enumerate(rules)])
     names = (("passed", "PASSED"), ("violated", "VIOLATED"), ("not_applicable", "NOT_APPLICABLE"), ("errors", "ERROR"))
     wide = marked.groupBy(*keys).agg(*[F.count_if(F.col(f"_o{i}") == what).alias(f"_{n}{i}") for i in range(len(rules)) for n, what in names])
     rows = [F.struct(F.lit(r.id).alias("rule_id"), *[F.col(f"_{n}{i}").alias(n) for n, _ in names]) for i, (_, r) in enumerate(rules)]

@@ -108,7 +108,7 @@ def evaluate_dataset(df: DataFrame, the_plan: DatasetPlan, ordinal: str, documen
     inside = n <= budget
     columns, aggs = [n.alias("_n"), inside.alias("_in")], [F.count(F.lit(1)).alias("_rows"), F.count_if("_in").alias("_consumed")]
     for i, (_, r) in enumerate(the_plan.local):
-        columns.append(compiler.rule(r)["outcome"].alias(f"_o{i}"))
+        columns.append(compiler.outcome(r).alias(f"_o{i}"))
         here = lambda what, i=i: F.col("_in") & (F.col(f"_o{i}") == what)
         aggs += [F.count_if(here("VIOLATED")).alias(f"_v{i}"), F.max(F.when(here("VIOLATED"), F.col("_n"))).alias(f"_l{i}"), F.min(F.when(here("ERROR"), F.col("_n"))).alias(f"_e{i}")]
     for j, (_, r) in enumerate(the_plan.aggregate):

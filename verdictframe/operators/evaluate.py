@@ -19,11 +19,17 @@ def evaluate(df: DataFrame, policies: PolicySet, resource: str | Column, documen
     """
     compiler = Compiler(df.schema, document)
     name = F.col(resource) if isinstance(resource, str) else resource
+    # the states first, each in a column of its own: a rule's result reads them several times
+    states = {f"__body_{i}": compiler.boolean(r.expression) for i, (_, r) in enumerate(policies.rules())}
+    states |= {f"__gate_{i}": compiler.boolean(r.applies_when) for i, (_, r) in enumerate(policies.rules()) if r.applies_when is not None}
     rows = [
-        F.struct(F.lit(policies.id).alias("policy_set_id"), F.lit(p).alias("policy_id"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).cast("string").alias("severity"), compiler.rule(r).alias("r"))
-        for p, r in policies.rules()
-    ]
-    long = df.select(name.cast("string").alias("resource_id"), F.explode(F.array(*rows)).alias("x"))
+        F.struct(
+            F.lit(policies.id).alias("policy_set_id"), F.lit(p).alias("policy_id"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).cast("string").alias("severity"),
+            compiler.rule(r, F.col(f"__body_{i}"), None if r.applies_when is None else F.col(f"__gate_{i}")).alias("r"),
+        )
+        for i, (p, r) in enumerate(policies.rules())
+    ]
+    long = df.withColumns(states).select(name.cast("string").alias("resource_id"), F.explode(F.array(*rows)).alias("x"))
     return long.select("resource_id", "x.policy_set_id", "x.policy_id", "x.rule_id", "x.severity", *[F.col(f"x.r.{c}").alias(c) for c in RESULT])
 
 

@@ -15,7 +15,7 @@ def stream_outcomes(events: DataFrame, policies: PolicySet, time: str, *, window
     if odd := [r.id for _, r in policies.rules() if rule_shape(r) != LOCAL]:
         raise Refusal("NOT_LOCAL", f"only row rules run on streams: {', '.join(odd)}")
     compiler = Compiler(events.schema)
-    marks = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), compiler.rule(r)["outcome"].alias("outcome")) for _, r in policies.rules()])
+    marks = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), compiler.outcome(r).alias("outcome")) for _, r in policies.rules()])
     marked = events.withWatermark(time, late).select(F.col(time), F.explode(marks).alias("m"))
     counted = marked.groupBy(F.window(time, window), "m.rule_id", "m.outcome").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("window.start").alias("window_start"), "rule_id", "outcome", "n")
