@@ -120,6 +120,26 @@ def test_toxicity_ignores_what_it_must_not_see(spark):
     assert a == b
 
 
+def test_toxicity_by_rare_expressions(spark):
+    """An expression of a few toxic documents counts, and a word that is as common in both classes doesn't, however much larger one is."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    rows, truth = [], {}
+
+    def name(stem, n):
+        return stem + "".join("abcdefghij"[int(d)] for d in f"{int(rng.integers(n)):02d}")
+
+    for i in range(1500):
+        truth[i] = int(i % 10 == 0)
+        words = prose(5000 + i, 60).split() + [name("topic", 10) for _ in range(2)]
+        if truth[i]:
+            words += [name("vile", 30) for _ in range(2)]
+        rows.append((i, " ".join(str(w) for w in rng.permutation(words))))
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    found = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).where("held_out").collect()
+    hits = [r.predicted for r in found if truth[r.doc_id]]
+    assert sum(hits) >= 0.8 * len(hits) and sum(r.predicted for r in found) - sum(hits) <= 0.03 * len(found)
+
+
 def test_toxicity_of_odd_rows(odd_docs, docs, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1), (6, 0), (6, 0)], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd_docs, labels).collect()

@@ -2,9 +2,9 @@
 
 Two models, one of toxic and one of ordinary text, hold continuation counts of word pairs (after how many different words a pair
 stands), back off to those of words in their class, and these to the continuation counts of both classes together. Copies of a document
-add nothing to such counts. Discounts are the same share of each class's events, so a word that is rare in both falls back to the shared
-counts in both and says nothing. A document's evidence is the
-difference of the two log-likelihoods, normalised by length, over the whole text and over its most telling stretch of WINDOW words; a
+add nothing to such counts. Every count of either class is discounted by the same DISCOUNT, so a word that is rare in both falls back to the
+shared counts in both and says nothing. A document's evidence is the
+difference of the two log-likelihoods, normalised by length, over the whole text and over its TELLING most telling distinct words; a
 logistic curve fitted to labelled documents that the counts don't include turns their sum into a score.
 """
 
@@ -20,10 +20,11 @@ from verdictframe.llm.language_id import folded
 
 #: Labelled documents that the model is fitted on, at most about so many of each class.
 FIT_DOCS = 12_000
-#: Events of the rarer class that are taken from each count: at least the first; growing with the root of its documents, as chance surpluses do,
-#: but no more than a share of them.
-DISCOUNT, DISCOUNT_ROOT, DISCOUNT_SHARE = 5.0, 0.5, 0.0125
-WINDOW = 1
+#: Taken from every count of either class, whatever the size of the sample. Kneser-Ney's own discounts are below 1; with those, pairs that
+#: the smaller class has once or twice by chance drown the rest (chosen on folds of training labels).
+DISCOUNT = 3.0
+#: Distinct words whose mean log-ratio counts besides that of the whole text: one pair by chance is not enough.
+TELLING = 3
 #: One labelled document in so many calibrates the curve instead of being counted.
 CALIBRATE = 4
 THRESHOLD = 0.3
@@ -76,7 +77,7 @@ class KneserNey:
         return at, keys[at] == wanted
 
     def evidence(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Of each row, the mean log-ratio of its words and the largest mean of WINDOW words in a row, added; 0 without words."""
+        """Of each row, the mean log-ratio of its words and that of its TELLING distinct words with the largest, added; 0 without words."""
         words, at = _words(buf, off)
         out = np.zeros(len(off) - 1)
         if not len(words):
@@ -94,16 +95,18 @@ class KneserNey:
             if both.any():
                 p = p + np.where(both, self.pair_share[:, j], 0.0)
             ratio[hit] = np.log(p[0]) - np.log(p[1])
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
         n = np.diff(at)
-        size = np.minimum(n, WINDOW)
-        ends = np.arange(len(words)) + 1
         row = np.repeat(np.arange(len(n)), n)
-        begin = np.maximum(ends - WINDOW, at[row])
-        full = ends - begin >= size[row]
-        mean = np.where(full, (total[ends] - total[begin]) / np.maximum(1, size[row]), -np.inf)
+        order = np.lexsort((-ratio, words, row))  # of a word that stands several times, the place with the largest ratio
+        w, r = words[order], row[order]
+        order = order[np.concatenate([[True], (w[1:] != w[:-1]) | (r[1:] != r[:-1])])]
+        order = order[np.lexsort((-ratio[order], row[order]))]
+        distinct = np.bincount(row[order], minlength=len(n))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(distinct) - distinct, distinct)
+        top = order[rank < TELLING]
         some = n > 0
-        out[some] = np.maximum.reduceat(mean, at[:-1][some]) + (total[at[1:][some]] - total[at[:-1][some]]) / n[some]
+        telling = np.bincount(row[top], ratio[top], minlength=len(n))[some] / np.minimum(distinct[some], TELLING)
+        out[some] = telling + np.bincount(row, ratio, minlength=len(n))[some] / n[some]
         return out
 
 
@@ -139,20 +142,13 @@ def fit_model(source: DataFrame, marks: DataFrame, fit_docs: int = FIT_DOCS) ->
     sums = pairs.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum((F.col("t") > 0).cast("long")).alias("ct"), F.sum((F.col("o") > 0).cast("long")).alias("co"), F.count(F.lit(1)).alias("c")).first()
     if not sums.c or not sums.t or not sums.o:
         return None, 0.0, float(np.log(prior / (1 - prior)))
-    # discounts: the same share of each class's events
-    rarer = min(min(pos, fit_docs), min(neg, fit_docs))
-    discount = max(DISCOUNT, min(DISCOUNT_ROOT * rarer**0.5, DISCOUNT_SHARE * rarer))
-    least = min(sums.ct, sums.co)
-    d_cont = [discount * x / least for x in (sums.ct, sums.co)]
-    least = min(sums.t, sums.o)
-    d_pair = [discount * x / least for x in (sums.t, sums.o)]
     conts = pairs.groupBy("w").agg(F.sum((F.col("t") > 0).cast("long")).alias("t"), F.sum((F.col("o") > 0).cast("long")).alias("o"), F.count(F.lit(1)).alias("c"))
     above = lambda c, d: F.greatest(F.col(c) - F.lit(d), F.lit(0.0))
-    kept = conts.select("w", "c", above("t", d_cont[0]).alias("t"), above("o", d_cont[1]).alias("o"))
+    kept = conts.select("w", "c", above("t", DISCOUNT).alias("t"), above("o", DISCOUNT).alias("o"))
     mass = kept.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
     backoff = max(1e-6, 1 - (mass.t / sums.ct + mass.o / sums.co) / 2)
-    words = kept.where("t > 0 or o > 0").collect()  # at most a word for each `discount` events of the bounded sample
-    strong = pairs.select("v", "w", above("t", d_pair[0]).alias("t"), above("o", d_pair[1]).alias("o")).where("t > 0 or o > 0")
+    words = kept.where("t > 0 or o > 0").collect()  # at most a word for each DISCOUNT events of the bounded sample
+    strong = pairs.select("v", "w", above("t", DISCOUNT).alias("t"), above("o", DISCOUNT).alias("o")).where("t > 0 or o > 0")
     context = pairs.groupBy("v").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     taken = strong.groupBy("v").agg(F.sum("t").alias("st"), F.sum("o").alias("so")).join(context, "v").collect()
     pair_rows = strong.join(context.select("v", F.col("t").alias("nt"), F.col("o").alias("no")), "v").collect()
