@@ -12,10 +12,11 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.common import blocks, bound_batches, drop_tables, id_text, map_blocks, worker_table
+from verdictframe.llm.common import blocks, bound_batches, drop_tables, id_text, map_blocks, text_buffer, worker_table
 
 #: Bytes of labelled text in a language's automaton, at most; and bytes of all languages' transition tables, at most.
 REFERENCE_BYTES, TABLE_BYTES = 96_000, 128 << 20
@@ -165,6 +166,15 @@ def _parser(references: dict[str, bytes]) -> CrossParser:
     return worker_table("cross-parser", hash(tuple(sorted(references.items()))), lambda: CrossParser(references))
 
 
+def lettered(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether each row has a letter, of any script."""
+    letter = np.concatenate([[0], np.cumsum(((buf | 32) >= 97) & ((buf | 32) <= 122))])
+    out = letter[off[1:]] > letter[off[:-1]]
+    for i in np.flatnonzero(~out).tolist():
+        out[i] = any(ch.isalpha() for ch in bytes(buf[off[i] : off[i + 1]]).decode("utf-8", "replace"))
+    return out
+
+
 def decide(buf: np.ndarray, off: np.ndarray, references: dict[str, bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and cost of each row; `und`, 0 and 0 where a row has no letter, or nothing was learned."""
     n = len(off) - 1
@@ -173,10 +183,8 @@ def decide(buf: np.ndarray, off: np.ndarray, references: dict[str, bytes]) -> tu
         p = _parser(references)
         best, score, bits = p.predict(buf, off)
         names = [p.languages[i] for i in best.tolist()]
-    letter = np.concatenate([[0], np.cumsum(((buf | 32) >= 97) & ((buf | 32) <= 122))])
-    for i in np.flatnonzero(letter[off[1:]] == letter[off[:-1]]).tolist():
-        if not any(ch.isalpha() for ch in bytes(buf[off[i] : off[i + 1]]).decode("utf-8", "replace")):
-            names[i], score[i], bits[i] = UNDETERMINED, 0.0, 0.0
+    for i in np.flatnonzero(~lettered(buf, off)).tolist():
+        names[i], score[i], bits[i] = UNDETERMINED, 0.0, 0.0
     return names, score, bits
 
 
@@ -192,15 +200,23 @@ def identify(docs: DataFrame, references: dict[str, bytes], *, id_col: str = "do
     return map_blocks(id_text(docs, id_col, text_col), make, "doc_id long, lang_pred string, score double, bits double", keep="cross-parser")
 
 
-def determined_rows(docs: DataFrame, references: dict[str, bytes], *, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, unchanged, whose language can be told; those with a null text or without a letter go."""
+def determined_rows(docs: DataFrame, references: dict[str, bytes], *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` whose text has a letter; those with a null text or without a letter go, whatever was learned.
+
+    A null language becomes the one that cross-parsing finds, if any was learned; everything else stays unchanged.
+    """
 
     def run(batches):
         drop_tables("cross-parser")
         for batch in batches:
             for part, buf, off in blocks(batch, text_col):
-                names, _, _ = decide(buf, off, references)
-                yield part.filter(pa.array([n != UNDETERMINED for n in names]))
+                part = part.filter(pa.array(lettered(buf, off)))
+                at = part.schema.get_field_index(lang_col)
+                if references and at >= 0 and part.column(at).null_count:
+                    lang = part.column(at)
+                    names, _, _ = decide(*text_buffer(part.filter(lang.is_null()).column(part.schema.get_field_index(text_col))), references)
+                    part = part.set_column(at, part.schema.field(at), pc.replace_with_mask(lang, lang.is_null(), pa.array(names, pa.string()).cast(lang.type)))
+                yield part
 
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
