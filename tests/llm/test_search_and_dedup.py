@@ -1,5 +1,6 @@
 """Top-k, SimHash and substring deduplication against brute force."""
 
+import random
 import re
 
 import numpy as np
@@ -177,6 +178,17 @@ def test_shared_passages_are_found_after_insertions(spark):
     assert kept[1] == rows[0][1] and kept[9] == rows[-1][1] and all(len(kept[i]) < len(rows[i - 1][1]) - 200 for i in (2, 3, 4, 5))
 
 
+def test_most_of_a_passage_of_51_words_is_found(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    passages = [text(51) for _ in range(200)]
+    rows = [(2 * i + k, f"{text(rng.randint(20, 90))} {p} {text(30)}") for i, p in enumerate(passages) for k in (0, 1)]
+    found = {}
+    for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r.doc_id // 2] = found.get(r.doc_id // 2, 0) + r.length
+    assert sum(len(p) - found.get(i, 0) > 100 for i, p in enumerate(passages)) <= 20 and len(found) >= 197
+
+
 def test_rows_that_share_a_doc_id_are_cut_each_for_itself(spark):
     a, b, c = prose(500, 60), prose(501, 60), prose(502, 60)
     rows = [(1, a + " " + b), (2, c), (2, b + " " + c), (2, b + " " + c), (None, a)]

@@ -18,7 +18,7 @@ from verdictframe.llm.chunking import cuts
 from verdictframe.llm.common import BROADCAST_BYTES, SliceHasher, as_signed, id_text, map_blocks, materialize
 
 #: 2 ** CUT_BITS bytes are the mean length of a chunk; LONGEST is the greatest, MIN_BYTES the least that a removed span has.
-CUT_BITS, LONGEST, MIN_BYTES = 5, 512, 96
+CUT_BITS, LONGEST, MIN_BYTES = 4, 512, 96
 EDGE = 12
 
 
