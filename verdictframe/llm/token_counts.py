@@ -8,8 +8,8 @@ annotated with the change of the token count. States are made when a text first
 
 A text is cut into chunks of a fixed number of bytes. A chunk's state map sends the state at its start to the state at its end and
 the tokens emitted. Where a pretoken starts within a chunk, all entry states meet in the root, so the map is a constant after a head;
-the heads (and chunks inside one pretoken) are then run from the entry states that the scan over the chunks hands on. All chunks of
-a block of texts step together, one table lookup for each byte. Memory is bounded: the table starts anew when it outgrows its limit.
+the heads (and chunks inside one pretoken) are then run from the entry states handed on, one after the other inside a pretoken: no maps are
+composed. All other chunks of a block of texts step together, one table lookup for each byte. Memory is bounded: the table starts anew when it outgrows its limit.
 """
 
 from __future__ import annotations
