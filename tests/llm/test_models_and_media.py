@@ -140,6 +140,19 @@ def test_toxicity_by_rare_expressions(spark):
     assert sum(hits) >= 0.8 * len(hits) and sum(r.predicted for r in found) - sum(hits) <= 0.03 * len(found)
 
 
+def test_a_pair_tells_where_its_word_alone_does_not(spark):
+    """`grim` stands in all documents, `gutter` after it only and in toxic ones only: one context, but many before the pair."""
+    rows, truth = [], {}
+    for i in range(600):
+        truth[i] = int(i % 5 == 0)
+        words = prose(9000 + i, 40).split()
+        words[i % 37 + 1 : i % 37 + 1] = ["grim", "gutter"] if truth[i] else ["grim"]
+        rows.append((i, " ".join(words)))
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    held = [(truth[r.doc_id], r.predicted) for r in toxicity.toxicity(df, labels).where("held_out").collect()]
+    assert sum(t == p for t, p in held) >= 0.95 * len(held)
+
+
 def test_toxicity_of_odd_rows(odd_docs, docs, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1), (6, 0), (6, 0)], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd_docs, labels).collect()

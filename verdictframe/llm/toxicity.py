@@ -63,7 +63,7 @@ class KneserNey:
     def __init__(self, word: np.ndarray, cont: np.ndarray, shared: np.ndarray, total: tuple[float, float], backoff: float, pair: np.ndarray, pair_share: np.ndarray, context: np.ndarray, context_backoff: np.ndarray) -> None:
         order = np.argsort(word)
         self.word, self.base = word[order], (cont / np.maximum(1.0, np.array(total))[:, None] + backoff * shared)[:, order]
-        self.has = np.concatenate([self.word, [0]]).astype(np.uint64)
+        self.own = (cont > 0).any(axis=0)[order]
         order = np.argsort(pair)
         self.pair, self.pair_share = pair[order], pair_share[:, order]
         order = np.argsort(context)
@@ -84,7 +84,7 @@ class KneserNey:
             return out
         i, known = self._find(self.word, words)
         ratio = np.zeros(len(words))
-        hit = np.flatnonzero(known)  # a word that both classes take from the shared counts says nothing
+        hit = np.flatnonzero(known)
         if len(hit):
             before, pair = _pairs(words, at)
             p = self.base[:, i[hit]]
@@ -94,7 +94,8 @@ class KneserNey:
             j, both = self._find(self.pair, pair[hit])
             if both.any():
                 p = p + np.where(both, self.pair_share[:, j], 0.0)
-            ratio[hit] = np.log(p[0]) - np.log(p[1])
+            # a word that both classes take from the shared counts says nothing, unless its pair does
+            ratio[hit] = np.where(self.own[i[hit]] | both, np.log(p[0]) - np.log(p[1]), 0.0)
         n = np.diff(at)
         row = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((-ratio, words, row))  # of a word that stands several times, the place with the largest ratio
@@ -147,8 +148,9 @@ def fit_model(source: DataFrame, marks: DataFrame, fit_docs: int = FIT_DOCS) ->
     kept = conts.select("w", "c", above("t", DISCOUNT).alias("t"), above("o", DISCOUNT).alias("o"))
     mass = kept.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
     backoff = max(1e-6, 1 - (mass.t / sums.ct + mass.o / sums.co) / 2)
-    words = kept.where("t > 0 or o > 0").collect()  # at most a word for each DISCOUNT events of the bounded sample
     strong = pairs.select("v", "w", above("t", DISCOUNT).alias("t"), above("o", DISCOUNT).alias("o")).where("t > 0 or o > 0")
+    # words with a count or a pair left: at most one for each DISCOUNT events of the bounded sample
+    words = kept.join(strong.select("w", F.lit(True).alias("paired")).distinct(), "w", "left").where("t > 0 or o > 0 or paired").collect()
     context = pairs.groupBy("v").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     taken = strong.groupBy("v").agg(F.sum("t").alias("st"), F.sum("o").alias("so")).join(context, "v").collect()
     pair_rows = strong.join(context.select("v", F.col("t").alias("nt"), F.col("o").alias("no")), "v").collect()
