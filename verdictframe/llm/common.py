@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,11 +23,14 @@ _local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder on this machine, if
+    all of Spark runs on it; on a cluster, where such a folder would lose rows, an error."""
     global _local_dir
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="shared-")
     return "file://" + _local_dir
@@ -52,10 +56,47 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def remove_table(table: DataFrame) -> None:
+    """Delete a table that materialize wrote, when nothing will read it again."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        remove_path(table.sparkSession, folder)
+
+
 #: Bytes above which a side of a join is shuffled instead of broadcast.
 BROADCAST_BYTES = 64 << 20
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as none of `columns` needs, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of a key, as a share of its table, above which its partners are broadcast: at most this many keys are.
+HOT_KEYS = 1000
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left join right on `key`, of which `right` has each value once (null never). Keys with more than 1 / HOT_KEYS of left's rows meet
+    their partners, HOT_KEYS rows at most, by broadcast, so that no task gets all rows of such a key; the rest is an ordinary join.
+
+    Both sides are read twice: give tables that are written. `how` is inner or left.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts, "key-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("n") > max(total // HOT_KEYS, 64)).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how).unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
+
+
 def within_bound(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The table, written to the shared folder and counted, marked for broadcast only if it has at most `limit` bytes."""
     df = materialize(df, "side")
@@ -163,16 +204,18 @@ def _random_values(n: int, seed: int) -> np.ndarray:
 
 
 class SliceHasher:
-    """64-bit polynomial hashes of many slices of one buffer, from one prefix sum.
+    """64-bit hashes of many slices of one buffer.
 
-    A slice hashes to sum(v[byte] * r ** index) modulo 2 ** 64 for random odd v and r, finished by a mix with its length.
+    A slice of fewer than 8 bytes is its own bytes as a number. A longer one is sum(g(w) * r ** i) modulo 2 ** 64 over its runs w of 8
+    bytes, from one prefix sum; g is mix64, so no bytes cancel as in a plain polynomial. Both are finished by a mix with the length.
     """
 
     R = _random_values(1, 11)[0]
     R_INV = _U64(pow(int(R), -1, 1 << 64))
-    VALUES = _random_values(256, 7)
+    RUN = 8
     _powers = np.ones(1, _U64)
     _inverse = np.ones(1, _U64)
+    _masks = np.array([(1 << 8 * k) - 1 for k in range(RUN)], _U64)
 
     @classmethod
     def _grow(cls, n: int) -> None:
@@ -183,15 +226,30 @@ class SliceHasher:
                 cls._inverse = np.concatenate([np.ones(1, _U64), np.cumprod(np.full(size, cls.R_INV, _U64))])
 
     def __init__(self, buf: np.ndarray) -> None:
-        self._grow(len(buf))
-        self.prefix = np.zeros(len(buf) + 1, _U64)
-        with np.errstate(over="ignore"):
-            np.cumsum(self.VALUES[buf] * self._powers[: len(buf)], out=self.prefix[1:])
+        run = buf.astype(_U64)  # at each byte the last 8, the last of them lowest
+        for k in (1, 2, 4):
+            run[k:] = run[k:] | (run[:-k] << _U64(8 * k))
+        self.run, self.prefix = run, None
+
+    def _sums(self) -> np.ndarray:
+        if self.prefix is None:
+            self._grow(len(self.run))
+            self.prefix = np.zeros(len(self.run) + 1, _U64)
+            with np.errstate(over="ignore"):
+                np.cumsum(mix64(self.run) * self._powers[: len(self.run)], out=self.prefix[1:])
+        return self.prefix
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        length = end - start
+        h = np.zeros(len(start), _U64)
+        short = np.flatnonzero((length > 0) & (length < self.RUN))
+        h[short] = self.run[end[short] - 1] & self._masks[length[short]]
+        long = np.flatnonzero(length >= self.RUN)
         with np.errstate(over="ignore"):
-            h = (self.prefix[end] - self.prefix[start]) * self._inverse[start]
-            return mix64(h ^ ((end - start).astype(_U64) * _U64(0x9E3779B97F4A7C15)))
+            if len(long):
+                sums, first = self._sums(), start[long] + self.RUN - 1
+                h[long] = (sums[end[long]] - sums[first]) * self._inverse[first]
+            return mix64(h ^ (length.astype(_U64) * _U64(0x9E3779B97F4A7C15)))
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

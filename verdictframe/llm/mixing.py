@@ -14,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdictframe.llm.common import materialize
+from verdictframe.llm.common import free_names, materialize
 
 #: Buckets of the order within a source.
 BUCKETS = 4096
@@ -50,9 +50,9 @@ def word_count(text: Column) -> Column:
 
 def mix(
     docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: Fraction = Fraction(3, 2), max_epochs: int = 2, seed: int = 17,
-    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: bool = False,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: str | None = None,
 ) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words) and copies of every row; with `keep`, the columns of `docs` and `_copies`.
+    """doc_id, size, source_size, target and taken (words) and copies of every row; with `keep`, the columns of `docs` and that of copies, named `keep`.
 
     Sources in the order of their code points, null last, have the weights given, repeating. A null text has no words, and is taken as
     often as its place in the order says, like any text. Rows that repeat are drawn each for itself, and equal rows fall together in
@@ -60,7 +60,7 @@ def mix(
     targets of zero; an empty table gives no rows.
     """
     base = docs.select(
-        (F.struct(*[F.col(c) for c in docs.columns]) if keep else F.lit(None).cast("int")).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        (F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.lit(None).cast("int")).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col).cast("string")).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("h"),
     ).withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))
     thin = materialize(base.drop("row"), "sizes") if not keep else base.drop("row")
@@ -94,11 +94,13 @@ def mix(
     copies = (F.col("whole") + F.col("extra")).cast("int")
     both = inner.unionByName(border)
     if keep:
-        return both.select(*[F.col("row")[c].alias(c) for c in docs.columns], copies.alias("_copies"))
+        return both.select(*[F.col("row")[c].alias(c) for c in docs.columns], copies.alias(keep))
     return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """`docs` with its columns: each row as often as the mix takes it."""
-    drawn = mix(docs, keep=True, **options)
-    return drawn.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies, copy = free_names(docs.columns, "copies", "copy")
+    drawn = mix(docs, keep=copies, **options)
+    each = drawn.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return each.select(*[F.col(f"`{c}`") for c in docs.columns])

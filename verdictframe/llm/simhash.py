@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdictframe.llm.common import id_text, map_blocks, materialize, within_bound
+from verdictframe.llm.common import free_names, id_text, join_split, map_blocks, materialize, remove_table, within_bound
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints from which correlations and candidate counts are estimated, at most; all fingerprints are joined.
@@ -31,6 +31,8 @@ SPLIT_ABOVE, SPLIT_DEPTH = 8192, 3
 SHIFT_LIMIT = 256
 #: Bytes that a doc_id counts in a broadcast.
 ID_BYTES = 16
+#: A node with more than this share of all edges is a hub; there are at most 1 / HUB_SHARE.
+HUB_SHARE = 0.001
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PIECE = 1 << 20
 
@@ -286,20 +288,22 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of `edges` (u long, v long), by alternating star steps.
 
     A step aggregates the smallest neighbour of each node before it shuffles and joins it back, so that no node's neighbours are
-    gathered. Each round is written to the shared folder.
+    gathered; hubs are joined by broadcast. Each round is written to the shared folder, and the one before it deleted.
     """
     pairs = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # larger neighbours go to the smallest
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "lowest")
+        joined = _join_lowest(both, low)
+        large = materialize(joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")  # larger neighbours go to the smallest
+        remove_table(low)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "lowest")
+        joined = _join_lowest(large, low)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))  # so do smaller ones, and the node itself
         new = materialize(small.where("u <> v").distinct(), "edges")
         settled = new.count() == pairs.count() and new.join(pairs, ["u", "v"], "left_anti").isEmpty()
+        for done in (pairs, large, low):
+            remove_table(done)
         pairs = new
         if settled:
             break
@@ -307,6 +311,14 @@ def components(edges: DataFrame) -> DataFrame:
     return root.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _join_lowest(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges with each node's smallest neighbour (u, m, n edges): nodes with very many edges, which are few, meet it by broadcast."""
+    rows = low.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HUB_SHARE * rows, 64)
+    hubs = F.broadcast(low.where(hot).select("u", "m"))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(low.where(~hot).select("u", "m"), "u"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc_id", text_col: str = "text", split_above: int = SPLIT_ABOVE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id reachable by links) of every row.
 
@@ -318,8 +330,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc
     found = components(links(classes.select("fp"), radius, split_above=split_above))
     joined = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = joined.join(smallest, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = materialize(joined.join(smallest, "component").select("fp", "component_id"), "component-ids")
+    return join_split(marked, by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,12 +339,13 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc_id",
 
     Rows that repeat (same doc_id and text) stay once. Rows without a doc_id can't be named and all stay.
     """
-    key = F.col(id_col).cast("long")
+    key = F.col(f"`{id_col}`").cast("long")
+    gone, twice = free_names(docs.columns, "dropped_id", "repeated_id")
     marked = materialize(near_duplicates(docs, radius, id_col=id_col, text_col=text_col), "marked")
     dropped = marked.where("doc_id > component_id").select("doc_id").distinct()
-    kept = docs.join(within_bound(dropped.withColumnRenamed("doc_id", "_dropped"), ID_BYTES), key == F.col("_dropped"), "left_anti")
-    repeated = materialize(marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated")), "repeated")
+    kept = docs.join(within_bound(dropped.withColumnRenamed("doc_id", gone), ID_BYTES), key == F.col(gone), "left_anti")
+    repeated = materialize(marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(twice)), "repeated")
     if repeated.isEmpty():
         return kept
-    again = key == F.col("_repeated")
+    again = key == F.col(twice)
     return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_col, text_col]))
