@@ -22,6 +22,8 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 CACHE_WORDS = 1 << 21
 #: Bytes of text that are encoded at once.
 ENCODE_BYTES = 1 << 20
+#: Bytes of a pretoken that is kept with its ids; longer ones go through the library each time.
+CACHED_BYTES = 256
 #: Pretokens that the library encodes at once.
 LEARN_WORDS = 16384
 
@@ -149,7 +151,10 @@ class Splitter:
 
 
 class WordEncoder(Splitter):
-    """ids of whole texts: each distinct pretoken goes through the tokenizers library once, and its ids are kept by a 64-bit hash."""
+    """ids of whole texts: each distinct pretoken goes through the tokenizers library once, and its ids are kept.
+
+    Pretokens are looked up by a 64-bit hash, and their bytes are then compared: one whose hash another one has goes through the library.
+    """
 
     def __init__(self, tokenizer_path: str) -> None:
         super().__init__(tokenizer_path)
@@ -161,18 +166,26 @@ class WordEncoder(Splitter):
         self.slot = np.empty(0, np.uint32)
         self.at = np.zeros(1, np.uint32)
         self.pool = np.empty(0, np.uint32)
+        self.text, self.text_at = np.empty(0, np.uint8), np.zeros(1, np.int64)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        counts, pools = [], []
+        counts, pools = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
         for k in range(0, len(words), LEARN_WORDS):
             got = [e.ids for e in encode(words[k : k + LEARN_WORDS], add_special_tokens=False)]
             counts.append(np.fromiter(map(len, got), np.int64, len(got)))
             pools.append(np.fromiter(chain.from_iterable(got), np.uint32, int(counts[-1].sum())))
-        count, pool = np.concatenate(counts), np.concatenate(pools)
+        return np.concatenate(counts), np.concatenate(pools)
+
+    def _learn(self, keys: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> None:
+        parts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+        count, pool = self._ids([p.decode("utf-8", "replace") for p in parts])
         slot = np.concatenate([self.slot, np.arange(len(self.at) - 1, len(self.at) - 1 + len(count), dtype=np.uint32)])
         self.at = np.concatenate([self.at, (int(self.at[-1]) + np.cumsum(count)).astype(np.uint32)])
         self.pool = np.concatenate([self.pool, pool])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(parts), np.uint8)])
+        self.text_at = np.concatenate([self.text_at, int(self.text_at[-1]) + np.cumsum(end - start)])
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
         self.keys, self.slot = keys[order], slot[order]
@@ -194,24 +207,48 @@ class WordEncoder(Splitter):
             if not plain.all():  # a pretoken before a special token ends there
                 stretch = np.searchsorted(s0[plain], start, side="right") - 1
                 end = np.minimum(end, s1[plain][stretch])
+        length = end - start
         h = SliceHasher(buf).of(start, end)
         known, first, back = np.unique(h, return_index=True, return_inverse=True)
+        # those that differ from the first of their hash, and long ones, are encoded each for itself
+        direct = (length > CACHED_BYTES) | (length != length[first[back]])
+        look = np.flatnonzero(~direct & (length >= SliceHasher.RUN) & (first[back] != np.arange(len(back))))
+        direct[look] = ~same_bytes(buf, start[look], buf, start[first[back[look]]], length[look])
         if len(self.keys) > CACHE_WORDS:
             self._clear()
         at = np.searchsorted(self.keys, known)
         missing = np.ones(len(known), bool)
         ok = at < len(self.keys)
         missing[ok] = self.keys[at[ok]] != known[ok]
+        held = np.flatnonzero(~missing & ~direct[first])
+        if len(held):
+            slot = self.slot[at[held]].astype(np.int64)
+            size = length[first[held]]
+            fits = self.text_at[slot + 1] - self.text_at[slot] == size
+            look = np.flatnonzero(fits & (size >= SliceHasher.RUN))
+            fits[look] = same_bytes(buf, start[first[held[look]]], self.text, self.text_at[slot[look]], size[look])
+            other = np.zeros(len(known), bool)
+            other[held[~fits]] = True
+            direct |= other[back]
+        raw = buf.tobytes() if missing.any() or direct.any() else b""
+        missing &= ~direct[first]
         if missing.any():
-            raw = buf.tobytes()
             pick = first[missing]
-            self._learn(known[missing], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[pick].tolist(), end[pick].tolist())])
-            at = np.searchsorted(self.keys, known)
-        slot = self.slot[at]
-        from_ = self.at[slot].astype(np.int64)
-        n_of = self.at[slot + 1].astype(np.int64) - from_
-        count = n_of[back]
-        ids = self.pool[ranges(from_[back], count)]
+            self._learn(known[missing], raw, start[pick], end[pick])
+        at = np.minimum(np.searchsorted(self.keys, known), max(0, len(self.keys) - 1))
+        pool = self.pool
+        if len(self.keys):
+            slot = self.slot[at]
+            from_ = self.at[slot].astype(np.int64)[back]
+            count = self.at[slot + 1].astype(np.int64)[back] - from_
+        else:
+            from_, count = np.zeros(len(back), np.int64), np.zeros(len(back), np.int64)
+        alone = np.flatnonzero(direct)
+        if len(alone):
+            count[alone], more = self._ids([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[alone].tolist(), end[alone].tolist())])
+            from_[alone] = len(pool) + np.cumsum(count[alone]) - count[alone]
+            pool = np.concatenate([pool, more])
+        ids = pool[ranges(from_, count)]
         where = np.searchsorted(start, off)
         upto = np.concatenate([[0], np.cumsum(count)])
         bounds = upto[where]
@@ -224,6 +261,14 @@ class WordEncoder(Splitter):
         return ids, bounds + extra
 
 
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether slices (none of them empty) of two buffers are the same."""
+    if not len(length):
+        return np.empty(0, bool)
+    differ = a[ranges(a_start, length)] != b[ranges(b_start, length)]
+    return ~np.logical_or.reduceat(differ, np.cumsum(length) - length)
+
+
 def encoder(tokenizer_path: str) -> WordEncoder:
     """This worker's encoder; workers are used again, and their caches with them."""
     return worker_table("encoder", tokenizer_path, lambda: WordEncoder(tokenizer_path))
