@@ -30,6 +30,43 @@ def test_ids_and_counts_of_any_text(vocabulary, tokenizer, limit):
             assert ids[at[i] : at[i + 1]].tolist() == want and n[i] == len(want), text
 
 
+def thue_morse(n: int, a: str, b: str) -> tuple[str, str]:
+    """Two words that plain polynomial hashes modulo a power of two can't tell apart."""
+    x, y = a, b
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("a, b, n", [("a", "b", 1024), ("a", "b", 128), ("aaaaaaaa", "bbbbbbbb", 1 << 14)])
+def test_ids_of_words_that_hash_alike(vocabulary, tokenizer, a, b, n, monkeypatch):
+    words, proper = thue_morse(n, a, b), pretoken.SliceHasher.of
+    for long in (None, 0, 1):  # words of 8 bytes and more all hash alike, or by their length
+        if long is not None:
+            monkeypatch.setattr(pretoken.SliceHasher, "of", lambda self, start, end, by=long: np.where(end - start < 8, proper(self, start, end), ((end - start) * by).astype(np.uint64)))
+        e = pretoken.WordEncoder(vocabulary)
+        for text in ([*words, " ".join(words), f"{words[0]} the of {words[1]} the"], ["the", *words, "fox" * 200]):
+            (_, buf, off), = blocks(pa.record_batch({"text": pa.array(text)}))
+            ids, at = e.encode(buf, off)
+            assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in text]
+
+
+@pytest.mark.parametrize("max_states, chunk", [(120_000, 96), (500, 5), (3000, 96)])
+def test_counts_of_long_pretokens(vocabulary, tokenizer, max_states, chunk):
+    rng = random.Random(8)
+    long = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("abcdefghijklmnop", 20_000), ("ab", 9000), ("中文é", 5000))]
+    long += ["a" * 30_001, "=" * 12_345, "".join(rng.choice(["the", "quick", "fox", "over"]) for _ in range(6000)), "x" * 7000 + " y " + "-" * 8000, thue_morse(1 << 13, "a", "b")[0]]
+    t = token_counts.CountingTransducer(vocabulary, chunk=chunk, max_states=max_states)
+    (_, buf, off), = blocks(pa.record_batch({"text": pa.array(long)}))
+    assert t.count(buf, off).tolist() == [len(tokenizer.encode(x, add_special_tokens=False).ids) for x in long]
+    assert len(t.states) <= max(3 * max_states, 60_000) and not t.held
+    once = np.zeros(len(buf), bool)
+    once[0] = True  # a composed map is the run over all of its bytes
+    whole = t._run(buf[:9000], once, np.array([0]), np.array([9000]), np.array([0]))
+    parts = t._through(buf[:9000], once, np.array([1]), np.array([9000]), t._run(buf, once, np.array([0]), np.array([1]), np.array([0]))[0])
+    assert whole[1][0] == parts[1][0] + 1
+
+
 def test_counts(spark, docs, texts, odd_docs, vocabulary, tokenizer):
     got = {r.doc_id: r for r in token_counts.count_tokens(docs, vocabulary).collect()}
     for i, text in texts.items():
