@@ -1,6 +1,7 @@
 """Mixing, media, toxicity and language identification."""
 
 import hashlib
+import random
 import re
 import zlib
 from fractions import Fraction
@@ -163,7 +164,7 @@ def test_toxicity_of_odd_rows(odd_docs, docs, spark):
 
 def test_suffix_automaton_reads_exactly_the_substrings():
     text = b"abcbcabba"
-    step = language_id.suffix_automaton([c - 97 for c in text], 3)
+    step = np.array(language_id.suffix_automaton([c - 97 for c in text], 3)).reshape(-1, 3)
 
     def reads(s):
         at = 0
@@ -177,24 +178,60 @@ def test_suffix_automaton_reads_exactly_the_substrings():
     assert all(map(reads, subs)) and not any(reads(s) for s in (b"aa", b"cc", b"abcc", b"bac"))
 
 
+def brute_phrases(text: bytes, reference: bytes) -> int:
+    text, reference = (language_id.folded(np.frombuffer(x, np.uint8)).tobytes() for x in (text, reference))
+    n = at = 0
+    while at < len(text):
+        to = at + 1
+        while to < len(text) and text[at : to + 1] in reference and text[at:to] in reference:
+            to += 1
+        n, at = n + 1, to
+    return n
+
+
 def test_phrases_are_longest_matches():
-    ref = {"a": b"hello there world and others", "b": b"guten tag die welt und mehr"}
+    rng = random.Random(3)
+    ref = {"a": b"hello there world and others", "b": b"guten tag die welt und mehr " * 60, "c": b"ab" * 900, "d": bytes(rng.choice(b"abc") for _ in range(3000))}
     p = language_id.CrossParser(ref)
-    texts = [b"hello world", b"Guten Tag, Welt", b"", b"xyz", b"o" * 600]
+    texts = [b"hello world", b"Guten Tag, Welt", b"", b"xyz", b"o" * 600, b"ab" * 1500 + b"x" + b"ba" * 700, b"guten tag die welt und mehr " * 80, bytes(rng.choice(b"abc") for _ in range(7000)), ref["d"][17:2900], b"ab" * 256, b"b" + b"ab" * 256]
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = p.phrases(np.frombuffer(b"".join(texts), np.uint8), off)
-    for i, t in enumerate(texts):
-        folded = language_id.folded(np.frombuffer(t, np.uint8)).tobytes()
-        for j, g in enumerate(("a", "b")):
-            n = 0
-            for k in range(0, len(folded), language_id.STRETCH):
-                piece, at = folded[k : k + language_id.STRETCH], 0
-                while at < len(piece):
-                    to = at + 1
-                    while to < len(piece) and piece[at : to + 1] in ref[g] and piece[at:to] in ref[g]:
-                        to += 1
-                    n, at = n + 1, to
-            assert got[i, j] == n, (t, g)
+    assert got.tolist() == [[brute_phrases(t, ref[g]) for g in "abcd"] for t in texts]
+
+
+def test_learning_and_the_winner(spark):
+    """What is learned, and who wins, against plain Python over whole texts."""
+    from pyspark.sql import functions as F
+
+    words = {"xx": "lorem dolor amet elit sed magna", "yy": "ekki vera hafa koma fara sjá", "zz": "olla voida tulla mennä nähdä saada"}
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(words[g].split()) for _ in range(rng.choice([3, 30, 6000]) if g != "zz" else 5000)), g) for i, g in enumerate(rng.choice(["xx", "yy", "zz"]) for _ in range(60))]
+    rows += [(100 + i, "unus unus unus", "rare") for i in range(9)] + [(200, None, "xx"), (201, "", "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.learn(df)
+    hashed = {r.text: (r.h, r.p) for r in df.where("text <> ''").select("text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(3), "text").alias("p")).collect()}
+    want = {}
+    for g in ("xx", "yy", "zz", "rare"):
+        mine = sorted({(hashed[t][0], t) for i, t, lang in rows if t and lang == g and zlib.crc32(str(i).encode()) % 3 != 1})
+        pieces = []
+        for _, t in mine:
+            at = hashed[t][1] % max(len(t) - language_id.PIECE_CHARS + 1, 1)
+            pieces.append(t[at : at + language_id.PIECE_CHARS].encode() + b" ")
+        want[g] = b"".join(pieces)[: language_id.REFERENCE_BYTES]
+    assert got == want
+    for r in language_id.language_id(df).collect():
+        text = dict((i, t) for i, t, _ in rows)[r.doc_id]
+        if text:
+            cost = {g: brute_phrases(text.encode(), ref) * np.log2(len(ref) + 1) / len(text.encode()) for g, ref in got.items()}
+            assert r.lang_pred == min(sorted(cost), key=cost.get) and abs(r.bits - min(cost.values())) < 1e-9
+        else:
+            assert r.lang_pred == "und"
+    assert {r.lang_pred for r in language_id.language_id(df).where("doc_id < 60").collect()} == {"xx", "yy", "zz"}
+
+
+def test_shares():
+    assert language_id.shares({"a": 10, "b": 100}, 1000, 50) == 40 and language_id.shares({"a": 10, "b": 100}, 1000, 500) == 100
+    assert language_id.shares({"a": 10, "b": 100, "c": 100}, 60, 1000) == 60
 
 
 def test_language_accuracy_on_held_out_documents(docs):
