@@ -16,7 +16,7 @@ def brute_top(ids, vectors, k, every):
     for i, q in enumerate(ids):
         if q % every == 0:
             s = vectors @ vectors[i]
-            rest = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:k]
+            rest = [j for j in np.lexsort((ids, -s)) if j != i][:k]
             out += [(int(q), n, int(ids[j]), int(s[j])) for n, j in enumerate(rest, 1)]
     return sorted(out)
 
@@ -42,6 +42,29 @@ def test_top_k_of_odd_vectors(spark):
     assert topk.nearest_of_every(df.limit(0)).count() == 0 and topk.nearest_of_every(df.where("vec_id = 20")).count() == 0
 
 
+def test_top_k_of_several_lengths_and_shared_ids(spark):
+    """Each length for itself, rows that share an id each for itself, components of any size; a vector too long for 64 bits takes no part."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    rows = [(int(i), rng.integers(-3, 4, d).astype(float).tolist()) for d in (0, 1, 3, 700) for i in rng.choice([0, 1, 20, 21, 40, 41], 9)] + [(20, [3e7, 4.0, -2e6]), (5, [-1e7, 2.5e7, 9.0]), (60, [1e300, 1.0, 1.0]), (60, [-1e18, 0.0, 0.0])]
+    got = sorted(tuple(r) for r in topk.nearest_of_every(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 20).collect())
+    want = []
+    for d in (0, 1, 3, 700):
+        mine = [(i, v) for i, v in rows if len(v) == d and max(map(abs, v), default=0) < 1e17]
+        want += brute_top(np.array([i for i, _ in mine]), np.floor(64 * np.array([v for _, v in mine])).astype(np.int64).reshape(len(mine), d), 5, 20)
+    assert got == sorted(want)
+
+
+def test_a_vector_of_many_rows(spark, monkeypatch):
+    """Ties go to the smaller id, and what a task gives doesn't grow with the copies."""
+    for name, value in (("ANNULUS_ROWS", 16), ("SEED_ROWS", 40), ("BLOCK", 16), ("SLOT_BLOCKS", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.Generator(np.random.PCG64(4))
+    v = [[1.0, 2.0, -1.0] if i % 2 else rng.normal(size=3).round(2).tolist() for i in range(600)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.nearest_of_every(df, 20, 20).collect())
+    assert got == brute_top(np.arange(600), np.floor(64 * np.array(v)).astype(np.int64), 20, 20)
+
+
 def brute_fingerprint(text) -> int:
     w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     shingles = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
@@ -142,24 +165,36 @@ def brute_spans(texts: dict[int, str]):
     seen, spans = {}, []
     for i in sorted(texts):
         raw = (texts[i] or "").encode()
+        chunks = brute_chunks(raw)
+        units = [(a, b) for (a, _), (_, b) in zip(chunks, chunks[1:])] or chunks
         run = []
-        for a, b in [*brute_chunks(raw), (len(raw) + 1, len(raw) + 2)]:
-            first = seen.setdefault(raw[a:b], (i, a)) if b <= len(raw) else (i, a)
-            if first != (i, a):
+        for a, b in [*units, (len(raw) + 1, len(raw) + 2)]:
+            repeated = b <= len(raw) and seen.setdefault(raw[a:b], (i, a)) != (i, a)
+            if not repeated or (run and a >= run[-1][1]):
+                short = lambda c: c[1] - c[0] < substring_dedup.EDGE and c[0] > 0 and c[1] < len(raw)  # noqa: B023, E731
+                while run and short(run[0]):
+                    run.pop(0)
+                while run and short(run[-1]):
+                    run.pop()
+                if run and run[-1][1] - run[0][0] >= substring_dedup.MIN_BYTES and (len(run) >= substring_dedup.UNITS or (run[0][0], run[-1][1]) == (0, len(raw))):
+                    spans.append((i, run[0][0], run[-1][1] - run[0][0]))
+                run = []
+            if repeated:
                 run.append((a, b))
-                continue
-            short = lambda c: c[1] - c[0] < substring_dedup.EDGE and c[0] > 0 and c[1] < len(raw)  # noqa: B023, E731
-            while run and short(run[0]):
-                run.pop(0)
-            while run and short(run[-1]):
-                run.pop()
-            if run and run[-1][1] - run[0][0] >= substring_dedup.MIN_BYTES:
-                spans.append((i, run[0][0], run[-1][1] - run[0][0]))
-            run = []
     return sorted(spans)
 
 
-def test_repeated_spans(docs, texts):
+@pytest.mark.parametrize("parts", [1, 4, 61])
+def test_repeated_spans(spark, docs, texts, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        check_spans(docs, texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def check_spans(docs, texts):
     short = {i: t for i, t in texts.items() if len(t) < 4000}
     part = docs.where("length(text) < 4000")
     got = substring_dedup.repeated_spans(part).collect()
@@ -186,7 +221,19 @@ def test_most_of_a_passage_of_51_words_is_found(spark):
     found = {}
     for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         found[r.doc_id // 2] = found.get(r.doc_id // 2, 0) + r.length
-    assert sum(len(p) - found.get(i, 0) > 100 for i, p in enumerate(passages)) <= 20 and len(found) >= 197
+    assert sum(len(p) - found.get(i, 0) > 100 for i, p in enumerate(passages)) <= 20 and len(found) >= 198
+
+
+def test_a_unit_of_many_rows_reaches_over_partitions(spark):
+    line = prose(900, 70)
+    rows = [(i, line if i % 3 else prose(1000 + i, 50) + line) for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.shuffle.partitions", 37)
+    try:
+        got = sorted((r.doc_id, r.start, r.length) for r in substring_dedup.repeated_spans(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == brute_spans(dict(rows)) and {i for i, _, _ in got} == set(range(2, 400))
 
 
 def test_rows_that_share_a_doc_id_are_cut_each_for_itself(spark):
