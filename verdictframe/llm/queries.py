@@ -74,8 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL of those that SQL can express.
 SQL: dict[str, str] = {
     "op1_pivot_topk": (
-        "WITH x AS (SELECT vec_id, [floor(64 * CAST(c AS DOUBLE)) FOR c IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64), "
-        "s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score FROM x AS q JOIN x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0), "
-        "r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 20"
+        "WITH e AS (SELECT row_number() OVER () AS nr, vec_id, [floor(64 * CAST(c AS DOUBLE)) FOR c IN embedding] AS v FROM embeddings "
+        "WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0), "
+        "x AS (SELECT nr, vec_id, v FROM e WHERE coalesce(list_sum([c * c FOR c IN v]), 0) < 4611686018427387904), "
+        "s AS (SELECT q.nr AS query, q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score FROM x AS q JOIN x ON q.nr <> x.nr AND len(q.v) = len(x.v) WHERE q.vec_id % 20 = 0), "
+        "r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 20"
     ),
 }

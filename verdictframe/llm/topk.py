@@ -4,7 +4,8 @@ Vectors of whole numbers get one coordinate more, which lifts all of them onto a
 products are then the smallest distances to the query. Each vector is keyed by its nearest pivot and the distance to it, and each
 pivot's distances are cut into annuli, packed as blocks of bounded size. A query first expands the annuli that may lie nearest, until
 they hold enough vectors; the k-th best score found bounds its radius, and by the triangle inequality only annuli whose distances come
-within that radius of its own distance to their pivot are searched. Queries travel in groups to the blocks that they need.
+within that radius of its own distance to their pivot are searched. Queries travel in groups to the blocks that they need; the blocks of
+an annulus with many are dealt to several slots. A task keeps the k best rows of each query that it meets, and gives them at its end.
 
 The pivots come from a bounded sample; every vector is indexed, and the results are exact for any choice of pivots.
 """
@@ -16,39 +17,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdictframe.llm.common import materialize
+from verdictframe.llm.common import bound_batches, materialize
 
 #: Vectors from which pivots are chosen, at most about so many.
-PIVOT_SAMPLE = 4096
-#: Pivots at most, annuli of each at most, and rows that an annulus has at least where the table has them.
-PIVOTS, ANNULI, ANNULUS_ROWS = 64, 64, 1024
-#: Vectors of a block, queries of a group, and vectors that a query's first annuli hold at least.
-BLOCK, GROUP, SEED_ROWS = 2048, 256, 1024
-#: Queries of which a task remembers the k-th best score so far.
-FLOORS = 200_000
+PIVOT_SAMPLE = 8192
+#: Pivots and annuli of each, at most; both grow with the root of the number of rows. Rows that an annulus has at least where the table has them.
+PIVOTS, ANNULI, ANNULUS_ROWS = 256, 64, 1024
+#: Vectors of a block, queries of a group, blocks of a slot, and vectors that a query's first annuli hold at least.
+BLOCK, GROUP, SLOT_BLOCKS, SEED_ROWS = 2048, 256, 16, 1024
+#: Queries whose best rows a task holds; beyond it they are given early.
+HELD = 100_000
+#: Squared lengths reach this bound no more, so that every inner product is a 64-bit number.
+LARGEST = 1 << 62
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 64, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, v (64-bit little-endian numbers floor(scale * x)) and norm (squared) of the rows that take part: vectors without null or
-    non-finite components, of the length that most of these have (the smaller length, of two as frequent)."""
-    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
+    """row (a number of its own), vec_id, dims, v (64-bit little-endian numbers floor(scale * x)) and norm (squared) of the rows that take
+    part: those with a vec_id whose vector is not null, has no null and no non-finite component, and is shorter than the root of LARGEST."""
+    raw = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     raw = raw.where("vec_id is not null and x is not null and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('inf'))")
-    sizes = raw.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dims = sizes[0].n if sizes else 0
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
-                v = np.floor(scale * flat).astype("<i8")
-                yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in v], pa.binary()), pa.array((v * v).sum(axis=1))], ["vec_id", "v", "norm"])
-
-    return raw.where(F.size("x") == dims).mapInArrow(run, "vec_id long, v binary, norm long")
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
+            x = batch.column(2)
+            sizes = x.value_lengths().to_numpy()
+            flat = np.floor(scale * x.flatten().to_numpy(zero_copy_only=False))
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            with np.errstate(over="ignore"):
+                length = np.concatenate([[0.0], flat * flat])
+            fits = np.array([length[a + 1 : b + 1].sum() < LARGEST for a, b in zip(at[:-1].tolist(), at[1:].tolist())], bool)
+            flat[np.repeat(~fits, sizes)] = 0
+            v = [flat[a:b].astype("<i8") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([int((r * r).sum()) for r in v], pa.int64())]
+            yield pa.record_batch(columns, ["row", "vec_id", "dims", "v", "norm"]).filter(pa.array(fits, pa.bool_()))
+
+    return raw.mapInArrow(run, "row long, vec_id long, dims int, v binary, norm long")
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), "<i8").reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), "<i8").reshape(len(rows), dims)
 
 
 class Pivots:
@@ -121,21 +129,22 @@ def _products(q: np.ndarray, v: np.ndarray, top: int) -> np.ndarray:
     return (q.astype(float) @ v.astype(float).T).astype(np.int64) if top < 1 << 52 else q @ v.T
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score: for each query the k vectors of other vec_ids with the largest inner products, ties to
-    the smaller vec_id. Both tables are as whole_numbers gives them. Rows that share a vec_id are candidates each for itself, and
-    queries that share one are ranked together. Empty tables give no rows.
+def top_k(vectors: DataFrame, queries: DataFrame, dims: int, k: int = 20) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score: for each query the k other rows of `vectors` with the largest inner products, ties to the
+    smaller vec_id. Both tables are as whole_numbers writes them, of `dims` components; a query's own row is that with its number. Rows
+    that share a vec_id are candidates and queries each for itself. Empty tables give no rows.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)
     schema = "query_id long, rank int, vec_id long, score long"
     stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).first()
     if not stats.n:
         return spark.createDataFrame([], schema)
     n, top = stats.n, int(max(stats.top, queries.agg(F.max("norm")).first()[0] or 0))
     step = max(1, n // PIVOT_SAMPLE)
-    sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).limit(2 * PIVOT_SAMPLE).select("vec_id", "v").collect() or vectors.limit(1).select("vec_id", "v").collect()
-    sample = np.stack([np.frombuffer(r.v, "<i8") for r in sorted(sample, key=lambda r: r.vec_id)])
-    pivots = Pivots(sample, top, int(np.clip(n // (4 * ANNULUS_ROWS), 1, PIVOTS)))
+    picked = vectors.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).limit(2 * PIVOT_SAMPLE).select("row", "v").collect() or vectors.limit(1).select("row", "v").collect()
+    sample = np.stack([np.frombuffer(r.v, "<i8") for r in sorted(picked, key=lambda r: r.row)])
+    pivots = Pivots(sample, top, int(np.clip(min(n // (4 * ANNULUS_ROWS), 2 * n**0.5), 1, PIVOTS)))
     near = pivots.of_vectors(sample)
     cell, dist = near.argmin(axis=1), near.min(axis=1)
     edges = []
@@ -149,12 +158,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     def keyed(batches):
         for batch in batches:
             if batch.num_rows:
-                near = pivots.of_vectors(_matrix(batch.column(1)))
+                near = pivots.of_vectors(_matrix(batch.column(2), dims))
                 cell, dist = near.argmin(axis=1), near.min(axis=1)
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(annuli.of(cell, dist)), pa.array(dist)], ["vec_id", "v", "annulus", "dist"])
+                yield pa.record_batch([*batch.columns, pa.array(annuli.of(cell, dist)), pa.array(dist)], ["row", "vec_id", "v", "annulus", "dist"])
 
     def packed(size: int, tag: str):
-        """Consecutive rows of an annulus as one row: annulus, block (unique), n, low, high, ids, v."""
+        """Consecutive rows of an annulus as one row: annulus, block (unique), n, rows, ids, v."""
 
         def run(batches):
             from pyspark import TaskContext
@@ -174,11 +183,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 else:
                     held = []
                 rows = sum(b.num_rows for b in held)
-                ids, v, d = table.column("vec_id").to_numpy(), table.column("v").to_pylist(), table.column("dist").to_numpy()
+                own, ids, v = table.column("row").to_numpy(), table.column("vec_id").to_numpy(), table.column("v").to_pylist()
                 if bounds:
-                    out = [(int(a[s]), (part << 40) + made + i, e - s, float(d[s:e].min()), float(d[s:e].max()), ids[s:e].astype("<i8").tobytes(), b"".join(v[s:e])) for i, (s, e) in enumerate(bounds)]
+                    out = [(int(a[s]), (part << 40) + made + i, e - s, own[s:e].astype("<i8").tobytes(), ids[s:e].astype("<i8").tobytes(), b"".join(v[s:e])) for i, (s, e) in enumerate(bounds)]
                     made += len(out)
-                    yield pa.record_batch([pa.array(c) for c in zip(*out)], ["annulus", tag, "n", "low", "high", "ids", "v"])
+                    yield pa.record_batch([pa.array(c) for c in zip(*out)], ["annulus", tag, "n", "rows", "ids", "v"])
 
             for batch in batches:
                 if batch.num_rows:
@@ -192,33 +201,38 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return run
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key_schema = "vec_id long, v binary, annulus long, dist double"
-    block_schema = "annulus long, {} long, n long, low double, high double, ids binary, v binary"
+    key_schema = "row long, vec_id long, v binary, annulus long, dist double"
+    block_schema = "annulus long, {} long, n long, rows binary, ids binary, v binary"
 
     def index(df: DataFrame, size: int, tag: str) -> DataFrame:
-        ranged = df.select("vec_id", "v").mapInArrow(keyed, key_schema).repartitionByRange(parts, "annulus", "dist", "vec_id").sortWithinPartitions("annulus", "dist", "vec_id")
+        order = ("annulus", "dist", "vec_id", "row")
+        ranged = df.select("row", "vec_id", "v").mapInArrow(keyed, key_schema).repartitionByRange(parts, *order).sortWithinPartitions(*order)
         return materialize(ranged.mapInArrow(packed(size, tag), block_schema.format(tag)), tag)
 
     blocks = index(vectors, BLOCK, "block")
-    for r in blocks.groupBy("annulus").agg(F.sum("n").alias("n")).collect():  # at most PIVOTS * ANNULI rows
-        annuli.count[r.annulus] = r.n
-    groups = index(queries, GROUP, "grp").select("grp", F.col("ids").alias("qids"), F.col("v").alias("qv"))
+    slots = np.ones(len(annuli.cell), np.int64)
+    for r in blocks.groupBy("annulus").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")).collect():  # at most PIVOTS * ANNULI rows
+        annuli.count[r.annulus], slots[r.annulus] = r.n, -(-r.blocks // SLOT_BLOCKS)
+    dealt = spark.createDataFrame([(a, s) for a, s in enumerate(slots.tolist())], "annulus long, slots long")
+    blocks = blocks.join(F.broadcast(dealt), "annulus").select("annulus", F.pmod(F.xxhash64("block"), F.col("slots")).alias("slot"), "rows", "ids", "v")
+    groups = index(queries, GROUP, "grp").select("grp", F.col("rows").alias("qrows"), F.col("ids").alias("qids"), F.col("v").alias("qv"))
+    none = np.iinfo(np.int64).min
 
     def route(bounded: bool):
-        """Rows (annulus, qids, qv, bounds) for the annuli that some query of a group needs, with just these queries."""
+        """Rows for the slots of the annuli that some query of a group needs, with just these queries and their k-th best so far."""
 
         def run(batches):
             for batch in batches:
                 for r in batch.to_pylist():
-                    qids = np.frombuffer(r["qids"], "<i8")
-                    q = np.frombuffer(r["qv"], "<i8").reshape(len(qids), -1)
+                    qrows, qids = np.frombuffer(r["qrows"], "<i8"), np.frombuffer(r["qids"], "<i8")
+                    q = np.frombuffer(r["qv"], "<i8").reshape(len(qids), dims)
                     reach = annuli.reach(pivots.of_queries(q))
-                    least = np.full(len(qids), np.iinfo(np.int64).min)
+                    least, least_id = np.full(len(qids), none), np.full(len(qids), none)
                     if bounded:
-                        known = {b["query_id"]: b["bound"] for b in r["bounds"]}
-                        least = np.array([least[i] if known.get(x) is None else known[x] for i, x in enumerate(qids.tolist())], np.int64)
+                        known = {b["q"]: (b["score"], b["vec_id"]) for b in r["bounds"]}
+                        least, least_id = (np.array([known.get(x, (none, none))[i] for x in qrows.tolist()], np.int64) for i in (0, 1))
                         radius = np.sqrt(np.maximum(0.0, (q.astype(float) ** 2).sum(axis=1) + top - 2.0 * least)) + slack
-                        radius[least == np.iinfo(np.int64).min] = np.inf
+                        radius[least == none] = np.inf
                         need = (reach <= radius[:, None]) & (annuli.count > 0)
                     else:  # nearest first, until enough vectors lie in them
                         order = np.argsort(reach, axis=1, kind="stable")
@@ -229,53 +243,73 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                         need &= annuli.count > 0
                     for a in np.flatnonzero(need.any(axis=0)).tolist():
                         pick = need[:, a]
-                        yield pa.record_batch([pa.array([x]) for x in (a, qids[pick].tobytes(), q[pick].tobytes(), least[pick].tobytes())], ["annulus", "qids", "qv", "least"])
+                        cells = [x[pick].tobytes() for x in (qrows, qids, q, least, least_id)]
+                        for slot in range(int(slots[a])):
+                            yield pa.record_batch([pa.array([x]) for x in (a, slot, *cells)], ["annulus", "slot", "qrows", "qids", "qv", "least", "least_id"])
 
         return run
 
     def search(batches):
-        floor: dict[int, int] = {}  # what the k-th best of a block of this task has, for each query met; only to leave out what can't be among the k best
+        held: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}  # for each query its id, and scores and vec_ids of the best so far
+
+        def give():
+            rows = [(q, i, ids, score) for q, (i, score, ids) in held.items() if len(ids)]
+            held.clear()
+            if rows:
+                size = [len(r[2]) for r in rows]
+                columns = [np.repeat([r[0] for r in rows], size), np.repeat([r[1] for r in rows], size), np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["q", "query_id", "vec_id", "score"])
+
         for batch in batches:
             for r in batch.to_pylist():
-                qids, ids, least = (np.frombuffer(r[c], "<i8") for c in ("qids", "ids", "least"))
-                if len(floor) > FLOORS:
-                    floor.clear()
-                least = np.array([max(floor.get(x, b), b) for x, b in zip(qids.tolist(), least.tolist())], np.int64)
-                q, v = np.frombuffer(r["qv"], "<i8").reshape(len(qids), -1), np.frombuffer(r["v"], "<i8").reshape(len(ids), -1)
+                qrows, qids, least, least_id, rows, ids = (np.frombuffer(r[c], "<i8") for c in ("qrows", "qids", "least", "least_id", "rows", "ids"))
+                least, least_id = least.copy(), least_id.copy()
+                if len(held) > HELD:
+                    yield from give()
+                for i, x in enumerate(qrows.tolist()):  # what this task has already bounds a query too
+                    mine = held.get(x)
+                    if mine is not None and len(mine[1]) == k and (mine[1][-1], -mine[2][-1]) > (least[i], -least_id[i]):
+                        least[i], least_id[i] = mine[1][-1], mine[2][-1]
+                q, v = np.frombuffer(r["qv"], "<i8").reshape(len(qids), dims), np.frombuffer(r["v"], "<i8").reshape(len(ids), dims)
                 score = _products(q, v, top)
-                out: list[list[np.ndarray]] = [[], [], []]
                 for i in np.flatnonzero((score >= least[:, None]).any(axis=1)).tolist():
-                    fit = np.flatnonzero((score[i] >= least[i]) & (ids != qids[i]))
-                    best = fit[_top(score[i][fit], ids[fit], k)]
-                    if len(best) == k:
-                        floor[int(qids[i])] = int(score[i][best[-1]])
-                    for c, x in zip(out, (np.full(len(best), qids[i]), ids[best], score[i][best])):
-                        c.append(x)
-                if out[0]:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
+                    fit = np.flatnonzero((score[i] > least[i]) | ((score[i] == least[i]) & (ids <= least_id[i])))
+                    fit = fit[rows[fit] != qrows[i]]
+                    _, s, d = held.get(int(qrows[i]), (0, np.empty(0, np.int64), np.empty(0, np.int64)))
+                    s, d = np.concatenate([s, score[i][fit]]), np.concatenate([d, ids[fit]])
+                    best = _top(s, d, k)
+                    held[int(qrows[i])] = (int(qids[i]), s[best], d[best])
+        yield from give()
 
     def searched(routed: DataFrame) -> DataFrame:
-        return routed.join(blocks.select("annulus", "ids", "v"), "annulus").select("qids", "qv", "least", "ids", "v").mapInArrow(search, "query_id long, vec_id long, score long")
+        joined = routed.join(blocks, ["annulus", "slot"]).select("qrows", "qids", "qv", "least", "least_id", "rows", "ids", "v")
+        return joined.mapInArrow(search, "q long, query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    routed_schema = "annulus long, qids binary, qv binary, least binary"
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = searched(groups.mapInArrow(route(False), routed_schema)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    bound = materialize(first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound")), "bounds")
-    members = groups.mapInArrow(_member_ids, "grp long, query_id long").join(bound, "query_id")
-    known = members.groupBy("grp").agg(F.collect_list(F.struct("query_id", "bound")).alias("bounds"))  # GROUP entries at most
-    known = groups.join(known, "grp", "left").select("qids", "qv", F.coalesce("bounds", F.array().cast("array<struct<query_id:long,bound:long>>")).alias("bounds"))
-    found = searched(known.mapInArrow(route(True), routed_schema))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    routed_schema = "annulus long, slot long, qrows binary, qids binary, qv binary, least binary, least_id binary"
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    bound = materialize(searched(groups.mapInArrow(route(False), routed_schema)).where(F.col("rank") == k).select("q", "score", "vec_id"), "bounds")
+    members = groups.select("grp", "qrows").mapInArrow(_members, "grp long, q long").join(bound, "q")
+    known = members.groupBy("grp").agg(F.collect_list(F.struct("q", "score", "vec_id")).alias("bounds"))  # GROUP entries at most
+    empty = F.array().cast("array<struct<q:long,score:long,vec_id:long>>")
+    known = groups.join(known, "grp", "left").select("qrows", "qids", "qv", F.coalesce("bounds", empty).alias("bounds"))
+    return searched(known.mapInArrow(route(True), routed_schema)).select("query_id", "rank", "vec_id", "score")
 
 
-def _member_ids(batches):
+def _members(batches):
     for batch in batches:
         for r in batch.to_pylist():
-            ids = np.frombuffer(r["qids"], "<i8")
-            yield pa.record_batch([pa.array(np.full(len(ids), r["grp"])), pa.array(ids.astype(np.int64))], ["grp", "query_id"])
+            rows = np.frombuffer(r["qrows"], "<i8")
+            yield pa.record_batch([pa.array(np.full(len(rows), r["grp"])), pa.array(rows.astype(np.int64))], ["grp", "q"])
 
 
 def nearest_of_every(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """top_k with the rows whose id is divisible by `every` as queries, against all rows."""
+    """top_k with the rows whose id is divisible by `every` as queries, against all rows of as many components: others have no inner
+    product with them. Tables hold vectors of few lengths; each is searched for itself. Vectors of any length are taken, also of none."""
     made = materialize(whole_numbers(vectors, scale, id_col=id_col, vector_col=vector_col), "vectors")
-    return top_k(made, made.where(F.pmod("vec_id", F.lit(every)) == 0), k)
+    asked = F.pmod("vec_id", F.lit(every)) == 0
+    out = None
+    for r in made.groupBy("dims").agg(F.count_if(asked).alias("queries")).where("queries > 0").sort("dims").collect():
+        mine = made.where(F.col("dims") == r.dims)
+        found = top_k(mine, mine.where(asked), r.dims, k)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else made.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
