@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.llm.chunking import cuts
-from verdictframe.llm.common import fresh_path, id_text, map_blocks, materialize, within_bound
+from verdictframe.llm.common import fresh_path, id_text, join_split, map_blocks, materialize, within_bound
 
 #: 2 ** CUT_BITS bytes are the mean length of a chunk and LONGEST the greatest.
 CUT_BITS, LONGEST = 12, 32768
@@ -29,7 +29,7 @@ CUT_BITS, LONGEST = 12, 32768
 UNIT = 64
 RATE = 8000
 HEADER = 44
-#: Bytes that a file's entry counts in a broadcast, and how many such bytes are broadcast.
+#: Bytes that a file's entry counts in a broadcast besides its digests, and how many such bytes are broadcast.
 ENTRY_BYTES, BROADCAST_BYTES = 120, 64 << 20
 #: Bytes that a digest counts in a broadcast.
 DIGEST_BYTES = 24
@@ -77,7 +77,7 @@ def _digest(chunk: bytes) -> bytes:
 
 
 def chunk_lists(docs: DataFrame, *, bits: int = CUT_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, media_id (the file's SHA-256), n_bytes and digests (in order) of every row."""
+    """doc_id, tag (a hash of the text), media_id (the file's SHA-256), n_bytes and digests (in order) of every row."""
 
     def make():
         def f(batch, buf, off):
@@ -86,11 +86,15 @@ def chunk_lists(docs: DataFrame, *, bits: int = CUT_BITS, id_col: str = "doc_id"
                 media = to_media(raw[a:b])
                 ids.append(hashlib.sha256(media).hexdigest())
                 lists.append([_digest(c) for c in _split(media, bits)])
-            yield pa.record_batch([batch.column(0), pa.array(ids), pa.array(np.diff(off)), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "media_id", "n_bytes", "digests"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ids), pa.array(np.diff(off)), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "tag", "media_id", "n_bytes", "digests"])
 
         return f
 
-    return map_blocks(id_text(docs, id_col, text_col), make, "doc_id long, media_id string, n_bytes long, digests array<binary>")
+    return map_blocks(_tagged(docs, id_col, text_col), make, "doc_id long, tag long, media_id string, n_bytes long, digests array<binary>")
+
+
+def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return id_text(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
 
 
 def _describe(media_id: str, media: bytes) -> tuple:
@@ -106,22 +110,23 @@ def store_media(docs: DataFrame, *, bits: int = CUT_BITS, id_col: str = "doc_id"
     Of the files with the same bytes one is stored. `data` holds a file's chunks in order, null where another file owns the chunk.
     """
     listed = materialize(chunk_lists(docs, bits=bits, id_col=id_col, text_col=text_col), "chunk-lists")
-    files = listed.groupBy("media_id").agg(F.min("doc_id").alias("owner_doc"), F.count(F.lit(1)).alias("n"))
-    copies = files.where("n > 1")
+    files = materialize(listed.groupBy("media_id").agg(F.min(F.struct("doc_id", "tag")).alias("owner"), F.count(F.lit(1)).alias("n"), F.min("digests").alias("digests")), "media-files")
     # rows whose file another row stores, and chunks that another file owns
-    not_first = listed.join(copies, "media_id").where("not (doc_id <=> owner_doc)").select("doc_id", "media_id")
-    distinct = listed.groupBy("media_id").agg(F.min("digests").alias("digests"))
-    each = distinct.select("media_id", F.explode(F.array_distinct("digests")).alias("digest"))
-    shared = each.groupBy("digest").agg(F.min("media_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    borrowed = each.join(shared, "digest").where("media_id <> owner").groupBy("media_id").agg(F.collect_list("digest").alias("borrowed"))
-    skip = materialize(not_first.distinct().select("doc_id", "media_id", F.lit(True).alias("skip"), F.lit(None).cast("array<binary>").alias("borrowed")), "media-skip")
-    lend = materialize(borrowed, "media-lend")
-    small = (skip.count() + lend.count()) * ENTRY_BYTES <= BROADCAST_BYTES
-
-    # entries by doc_id: the files that this row must not store, or the chunks that it must not
-    firsts = listed.join(lend, "media_id").join(files.select("media_id", "owner_doc"), "media_id").where("doc_id <=> owner_doc").select("doc_id", "media_id", F.lit(False).alias("skip"), "borrowed").distinct()
-    entries = materialize(skip.unionByName(firsts).groupBy("doc_id").agg(F.collect_list(F.struct("media_id", "skip", "borrowed")).alias("entry")).withColumnRenamed("doc_id", "entry_doc"), "media-entries")
-    source = id_text(docs, id_col, text_col).join(F.broadcast(entries) if small else entries, F.col("doc_id").eqNullSafe(F.col("entry_doc")), "left").select("doc_id", "text", "entry")
+    copies = files.where("n > 1").select("media_id", F.col("owner.doc_id").alias("owner_doc"), F.col("owner.tag").alias("owner_tag"))
+    copied = join_split(listed.select("doc_id", "tag", "media_id"), copies, "media_id").where("not (doc_id <=> owner_doc and tag = owner_tag)")
+    skip = materialize(copied.select("doc_id", "tag", "media_id", F.lit(True).alias("skip"), F.lit(None).cast("array<binary>").alias("borrowed")).distinct(), "media-skip")
+    each = materialize(files.select("media_id", F.explode(F.array_distinct("digests")).alias("digest")), "media-digests")
+    shared = materialize(each.groupBy("digest").agg(F.min("media_id").alias("lender"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "lender"), "media-shared")
+    lend = join_split(each, shared, "digest").where("media_id <> lender").groupBy("media_id").agg(F.collect_list("digest").alias("borrowed"))
+    owners = files.select("media_id", F.col("owner.doc_id").alias("doc_id"), F.col("owner.tag").alias("tag"))
+    lend = materialize(lend.join(owners, "media_id").select("doc_id", "tag", "media_id", F.lit(False).alias("skip"), "borrowed"), "media-lend")
+
+    # entries by row: the file that it must not store, or the chunks of it; several only where different texts share doc_id and hash
+    entries = skip.unionByName(lend).groupBy(F.col("doc_id").alias("entry_doc"), F.col("tag").alias("entry_tag")).agg(F.collect_list(F.struct("media_id", "skip", "borrowed")).alias("entry"))
+    entries = materialize(entries, "media-entries")
+    size = entries.agg(F.sum(F.aggregate("entry", F.lit(0).cast("long"), lambda n, e: n + ENTRY_BYTES + DIGEST_BYTES * F.greatest(F.size(e["borrowed"]), F.lit(0))))).first()[0] or 0
+    same = F.col("doc_id").eqNullSafe(F.col("entry_doc")) & (F.col("tag") == F.col("entry_tag"))
+    source = _tagged(docs, id_col, text_col).join(F.broadcast(entries) if size <= BROADCAST_BYTES else entries, same, "left").select("doc_id", "text", "entry")
 
     def make():
         def f(batch, buf, off):
@@ -164,11 +169,11 @@ def read_media(store: DataFrame) -> DataFrame:
     # files that borrow: their chunks by digest, joined with the owners' bytes, in order again
     partial = store.where(F.exists("data", lambda c: c.isNull()))
     pieces = partial.select("media_id", F.posexplode(F.arrays_zip("digests", "data")).alias("at", "c")).select("media_id", "at", F.col("c.digests").alias("digest"), F.col("c.data").alias("data"))
-    lacking = pieces.where("data is null").select("media_id", "at", "digest")
+    lacking = materialize(pieces.where("data is null").select("media_id", "at", "digest"), "media-lacking")
     asked = lacking.select("digest").distinct()
     owned = store.select(F.explode(F.arrays_zip("digests", "data")).alias("c")).where("c.data is not null").select(F.col("c.digests").alias("digest"), F.col("c.data").alias("data"))
-    lent = owned.join(within_bound(asked, DIGEST_BYTES), "digest", "left_semi").groupBy("digest").agg(F.first("data").alias("data"))
-    filled = pieces.where("data is not null").select("media_id", "at", "data").unionByName(lacking.join(lent, "digest").select("media_id", "at", "data"))
+    lent = materialize(owned.join(within_bound(asked, DIGEST_BYTES), "digest", "left_semi").groupBy("digest").agg(F.min("data").alias("data")), "media-lent")
+    filled = pieces.where("data is not null").select("media_id", "at", "data").unionByName(join_split(lacking, lent, "digest").select("media_id", "at", "data"))
     mended = filled.groupBy("media_id").agg(F.array_sort(F.collect_set(F.struct("at", "data"))).alias("c")).select("media_id", F.col("c.data").alias("data"))
     return complete.mapInArrow(run, FEATURES).unionByName(mended.mapInArrow(run, FEATURES)).dropDuplicates(["media_id"])
 
@@ -178,4 +183,4 @@ def media_features(docs: DataFrame, *, bits: int = CUT_BITS, id_col: str = "doc_
     store gives back. Null and empty texts are payloads of 64 zero bytes; equal texts share a file; rows that repeat stay; an empty
     table gives no rows; columns besides the two named are ignored."""
     listed, store = store_media(docs, bits=bits, id_col=id_col, text_col=text_col)
-    return listed.join(read_media(store), "media_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("media_id").alias("media_sha256"), "feature")
+    return join_split(listed, materialize(read_media(store), "media-features"), "media_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("media_id").alias("media_sha256"), "feature")
