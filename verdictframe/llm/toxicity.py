@@ -20,6 +20,8 @@ from verdictframe.llm.language_id import folded
 
 #: Labelled documents that the model is fitted on, at most about so many of each class.
 FIT_DOCS = 12_000
+#: Characters of each of these documents, at most: of a longer one a piece whose place a hash decides.
+FIT_CHARS = 20_000
 #: Taken from every count of either class, whatever the size of the sample. Kneser-Ney's own discounts are below 1; with those, pairs that
 #: the smaller class has once or twice by chance drown the rest (chosen on folds of training labels).
 DISCOUNT = 3.0
@@ -122,7 +124,8 @@ def fit_model(source: DataFrame, marks: DataFrame, fit_docs: int = FIT_DOCS) ->
     step = F.when(F.col("toxic") == 1, F.lit(max(1, pos // fit_docs))).otherwise(F.lit(max(1, neg // fit_docs)))
     h = F.xxhash64(F.lit(5), "doc_id")
     drawn = marks.where(F.pmod(h, step) == 0).select("doc_id", "toxic", (F.pmod(F.shiftrightunsigned(h, 20), F.lit(CALIBRATE)) == 0).alias("held"))
-    sample = materialize(source.join(within_bound(drawn, LABEL_BYTES), "doc_id").select("doc_id", "text", "toxic", "held"), "toxicity-sample")
+    joined = source.join(within_bound(drawn, LABEL_BYTES), "doc_id")
+    sample = materialize(joined.select("doc_id", fit_piece("text").alias("text"), "toxic", "held"), "toxicity-sample")
 
     def make():
         def f(batch, buf, off):
@@ -168,6 +171,11 @@ def fit_model(source: DataFrame, marks: DataFrame, fit_docs: int = FIT_DOCS) ->
     return model, slope, intercept
 
 
+def fit_piece(text: str) -> Column:
+    place = F.pmod(F.xxhash64(F.lit(6), text), F.greatest(F.length(text) - FIT_CHARS + 1, F.lit(1))).cast("int") + 1
+    return F.substring(text, place, F.lit(FIT_CHARS))
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
     """Slope and intercept of the logistic curve of y over x, with a small ridge, by Newton's method."""
     if len(x) < 4 or y.min(initial=1) == y.max(initial=0):
