@@ -1,15 +1,19 @@
 """Mixing, media, toxicity and language identification."""
 
 import hashlib
+import io
+import math
 import random
 import re
+import wave
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from verdictframe.llm import language_id, media, mixing, toxicity
+from verdictframe.llm import chunking, language_id, media, mixing, toxicity
 from tests.llm.conftest import prose
 
 
@@ -62,28 +66,64 @@ def test_mix_of_odd_rows(odd_docs, docs):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_rows(docs.limit(0)).count() == 0
 
 
+def brute_media(text) -> tuple[bytes, bytes, str]:
+    """Payload, stored file (by the standard library) and feature of a text."""
+    raw = (text or "").encode()
+    payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000)
+        w.writeframes(payload)
+    n, total = len(payload), sum(payload)
+    over = [x * n > total for x in payload]
+    bands = [sum(x // 32 == k for x in payload) for k in range(8)]
+    spread = max(0.0, sum(x * x for x in payload) / n - (total / n) ** 2) ** 0.5
+    return payload, out.getvalue(), f"mean={total / n:.4f};rms={spread:.4f};crossings={sum(a != b for a, b in zip(over, over[1:]))};bands=" + ",".join(map(str, bands))
+
+
 def test_media(docs, texts):
     for r in media.media_features(docs).collect():
-        raw = texts[r.doc_id].encode()
-        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-        stored = media.to_media(raw)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), media.feature(payload)) and media.samples(stored) == payload
+        payload, stored, feature = brute_media(texts[r.doc_id])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id].encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), feature)
 
 
 def test_media_chunks_are_stored_once(spark):
+    """Every distinct chunk has one owner, and the lists give back every file, with texts and doc_ids that many rows share."""
     shared = prose(50, 400)
-    rows = [(i, prose(60 + i, 30) + shared + prose(70 + i, 30)) for i in range(5)] + [(9, shared), (10, shared), (10, shared), (11, None)]
+    rows = [(i, prose(60 + i, 30) + shared + prose(70 + i, 30)) for i in range(5)] + [(9, shared), (10, shared), (10, shared), (11, None), (None, shared), (None, None), (10, "x")] + [(100 + i, shared) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     _, store = media.store_media(df, bits=6)
-    stored = [bytes(c) for r in store.dropDuplicates(["media_id"]).collect() for c in r.data if c is not None]
-    total = sum(len(media.to_media((t or "").encode())) for _, t in rows)
-    assert sum(map(len, stored)) < total / 2 and store.where("exists(data, c -> c is null)").count() >= 4
+    files = {r.media_id: r for r in store.collect()}
+    want = {hashlib.sha256(f).hexdigest(): f for f in (brute_media(t)[1] for _, t in rows)}
+    assert files.keys() == want.keys()
+    held = {}
+    for r in files.values():
+        for d, c in zip(r.digests, r.data):
+            if c is not None:
+                assert held.setdefault(bytes(d), (r.media_id, bytes(c))) == (r.media_id, bytes(c)) and hashlib.blake2b(c, digest_size=16).digest() == bytes(d)
+    for name, r in files.items():
+        assert b"".join(held[bytes(d)][1] for d in r.digests) == want[name]
+        ends = set(np.cumsum([len(held[bytes(d)][1]) for d in r.digests]).tolist())
+        assert ends == brute_cuts(want[name], 6)
+    assert sum(len(c) for _, c in held.values()) < sum(map(len, want.values())) / 2
     got = media.media_features(df, bits=6).collect()
-    assert len(got) == 9
-    for r in got:
-        text = dict(rows)[r.doc_id] or ""
-        assert r.media_sha256 == hashlib.sha256(media.to_media(text.encode())).hexdigest()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.media_sha256) for r in got) == sorted((i is None, i or 0, hashlib.sha256(brute_media(t)[1]).hexdigest()) for i, t in rows)
+
+
+def brute_cuts(raw: bytes, bits: int) -> set[int]:
+    """Ends of chunks, by the gear hash of each window on its own."""
+    w, out = chunking.WINDOW, {len(raw)}
+    for i in range(w, len(raw) + 1):
+        h = 0
+        for b in raw[i - w : i]:
+            h = (h << 1) + int(chunking.GEAR[b])
+        if (h >> (w - bits)) & ((1 << bits) - 1) == 0:
+            while i < len(raw) and raw[i] & 0xC0 == 0x80:
+                i += 1
+            out.add(i)
+    assert max(np.diff([0, *sorted(out)])) <= media.LONGEST
+    return out
 
 
 def test_media_of_odd_rows(odd_docs, docs):
@@ -121,6 +161,48 @@ def test_toxicity_ignores_what_it_must_not_see(spark):
     assert a == b
 
 
+def test_the_toxicity_model_against_plain_counts(spark):
+    """The log-ratios of the fitted model, from counts in dictionaries of words."""
+    from pyspark.sql import functions as F
+
+    df, labels = _labelled(spark, 300)
+    h = F.xxhash64(F.lit(5), "doc_id")
+    held = {r.doc_id for r in df.where(F.pmod(F.shiftrightunsigned(h, 20), F.lit(toxicity.CALIBRATE)) == 0).collect()}
+    model, _, _ = toxicity.fit_model(df, labels)
+    text, mark = {r.doc_id: r.text for r in df.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    words = lambda t: re.findall("[a-zà-ÿ]+", t.lower())
+    triples = {(c, *x) for i, t in text.items() if i not in held for w in [["", "", *words(t)]] for x in zip(w, w[1:], w[2:]) for c in [mark[i]]}
+    pair = Counter((c, v, w) for c, _, v, w in triples)
+    cont, context, shared = Counter((c, w) for c, _, w in pair), Counter(), Counter(w for _, w in {(v, w) for _, v, w in pair})
+    for (c, v, _), n in pair.items():
+        context[c, v] += n
+    total, d = {c: sum(n for (k, _), n in cont.items() if k == c) for c in (0, 1)}, toxicity.DISCOUNT
+    left = {c: sum(max(n - d, 0) for (k, _), n in cont.items() if k == c) / total[c] for c in (0, 1)}
+    backoff, types = 1 - (left[0] + left[1]) / 2, sum(shared.values())
+
+    def ratio(v, w):
+        if not any(max(cont[c, w] - d, 0) + max((n - d for (k, _, x), n in pair.items() if k == c and x == w), default=0) > 0 for c in (0, 1)):
+            return 0.0
+        p = []
+        for c in (0, 1):
+            base = max(cont[c, w] - d, 0) / total[c] + backoff * shared[w] / types
+            kept = sum(max(n - d, 0) for (k, x, _), n in pair.items() if (k, x) == (c, v))
+            n = context[c, v]
+            p.append((1 - kept / n if n else 1) * base + (max(pair[c, v, w] - d, 0) / n if n else 0))
+        told = any(cont[c, w] > d for c in (0, 1)) or any(pair[c, v, w] > d for c in (0, 1))
+        return math.log(p[1] / p[0]) if told else 0.0
+
+    for i in sorted(text)[:25]:
+        w = words(text[i])
+        each = [ratio(a, b) for a, b in zip(["", *w], w)]
+        best = {}
+        for x, r in zip(w, each):
+            best[x] = max(r, best.get(x, -math.inf))
+        top = sorted(best.values(), reverse=True)[: toxicity.TELLING]
+        raw = np.frombuffer(text[i].encode(), np.uint8)
+        assert abs(model.evidence(raw, np.array([0, len(raw)]))[0] - (sum(each) / len(each) + sum(top) / len(top))) < 1e-9
+
+
 def test_toxicity_by_rare_expressions(spark):
     """An expression of a few toxic documents counts, and a word that is as common in both classes doesn't, however much larger one is."""
     rng = np.random.Generator(np.random.PCG64(8))

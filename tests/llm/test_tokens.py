@@ -1,6 +1,8 @@
 """Pretokens, token counts, token files and packing against the tokenizers library."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -8,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from verdictframe.llm import packing, pretoken, token_counts, token_files
-from verdictframe.llm.common import blocks
+from verdictframe.llm.common import SliceHasher, blocks
 
 ALPHABET = list("aZé1٣ '\n\t\r\u0085　!?.,s t re ve 中文՘\U0001F600édlm'") + ["<|endoftext|>", "'ll", "'re ", "  ", "\n\n"]
 
@@ -129,6 +131,32 @@ def test_packing(docs, texts, vocabulary, tokenizer):
     _check_pieces(pieces, texts, tokenizer)
 
 
+def brute_key(text: str) -> tuple[int, ...]:
+    """The cell of a text: words hashed one by one."""
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+    hashes = [int(SliceHasher(np.frombuffer(w, np.uint8)).of(np.array([0]), np.array([len(w)]))[0]) for w in words]
+    out = []
+    for d in range(packing.DIMS):
+        mean = sum(((h >> 16 * d) & 0xFFFF) - 32767.5 for h in hashes) / 32767.5 / math.sqrt(max(1, len(words)))
+        out.append(min((1 << packing.BITS) - 1, max(0, int((math.tanh(mean * 0.8) + 1) / 2 * (1 << packing.BITS)))))
+    return tuple(out)
+
+
+def test_documents_follow_the_curve(docs, texts, vocabulary):
+    """Keys are the places of hashed vectors on the curve, and each range's sequences hold its documents in the order of their keys."""
+    ids = sorted(texts)
+    (_, buf, off), = blocks(pa.record_batch({"text": pa.array([texts[i] for i in ids])}), limit=1 << 30)
+    keys = dict(zip(ids, packing.curve_keys(buf, off).tolist()))
+    cells = np.array([brute_key(texts[i]) for i in ids[:60]])
+    assert packing.hilbert_index(cells, packing.BITS).tolist() == [keys[i] for i in ids[:60]]
+    pieces = sorted(packing.pack_along_curve(docs, vocabulary, parts=3).collect(), key=lambda p: (p.sequence_id, p.offset))
+    for part in range(3):
+        order = [(keys[p.doc_id], p.doc_id) for p in pieces if p.sequence_id >> 32 == part]
+        assert order == sorted(order) and order
+    ends = [[keys[p.doc_id] for p in pieces if p.sequence_id >> 32 == part] for part in range(3)]
+    assert all(a[-1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_packing_odd_rows(odd_docs, docs, vocabulary, tokenizer):
     once = odd_docs.dropDuplicates(["doc_id"])
     _check_pieces(packing.pack_along_curve(once, vocabulary).collect(), {r.doc_id: r.text for r in once.collect()}, tokenizer)
