@@ -209,7 +209,10 @@ def test_streams_from_the_command_line(spark, tmp_path):
     ragged.write_text("temp\nok\n1,2\n")
     lines.write_text('{"temp":"ok"}\n{"temp":"bad"}\n')
     code, text = run("stream", "--policy", out, csv)
-    assert code == 2 and '"violations": 2, "lastRow": 4' in text
+    assert code == 2 and text == "stream: violations=2 (last row 4)"
+    assert run("stream", "--policy", out, csv, lines) == (2, "stream: violations=3 (last row 2)")
+    assert json.loads(run("stream", "--policy", out, "--format-out", "json", lines, csv)[1]) == {"status": "violations", "violations": 3, "lastViolationRow": 4}
+    assert json.loads(run("stream", "--policy", out, "--format-out", "json", csv, ragged)[1])["status"] == "decode-refusal"
     assert run("stream", "--policy", out, lines)[0] == 2 and run("stream", "--policy", out, ragged)[0] == 4
     assert run("stream", "--policy", out, "--row-budget", "2", csv)[0] == 3 and run("stream", "--policy", out, "--row-budget", "0", csv)[0] == 1 and run("stream", "--policy", out, tmp_path / "none.csv")[0] == 4
 

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import sys
 from datetime import datetime, timezone
@@ -227,12 +228,15 @@ def explain(words: list[str], flags: dict[str, list[str]], out) -> int:
 
 
 def compile_(words: list[str], flags: dict[str, list[str]], out) -> int:
+    source, target = _flag(flags, "policy", flags["ir"][-1] if flags.get("ir") else words[0] if words else None), _flag(flags, "out")
     try:
-        d = codec.decode(_read(_flag(flags, "ir", words[0] if words else None)))
+        d = codec.decode(_read(source))
         lowered = codec.lower(d.policies, d.functions, d.shapes)
-        Path(_flag(flags, "out")).write_bytes(codec.pack(codec.replace(lowered, parameters=d.parameters, source_refs=d.source_refs, language=d.language)))
+        raw = codec.pack(codec.replace(lowered, parameters=d.parameters, source_refs=d.source_refs, language=d.language))
     except Refusal as e:
         raise _Exit(COMPILER_ERROR, str(e)) from e
+    Path(target).write_bytes(raw)
+    out(json.dumps({"out": target, "bundleSha256": hashlib.sha256(raw).hexdigest(), "bytes": len(raw)}))
     return OK
 
 
@@ -247,26 +251,41 @@ def shape(words: list[str], flags: dict[str, list[str]], out) -> int:
 
 
 def bundle(words: list[str], flags: dict[str, list[str]], out) -> int:
-    d = _bundle(_flag(flags, "verify", words[0] if words else None))
-    out(json.dumps({"bundleId": d.policies.id, "semanticDigest": codec.semantic_digest(d)}))
-    return OK
+    """Verify every bundle given; one that is refused doesn't end the run."""
+    targets = [*[f for f in flags.get("verify", []) if f], *words]
+    if not targets:
+        raise _Exit(USAGE, "no bundles given")
+    code = OK
+    for path in targets:
+        try:
+            d = _bundle(path)
+        except _Exit as e:
+            out(json.dumps({"path": path, "verified": False, "reason": str(e)}))
+            code = ADMISSION_ERROR
+        else:
+            out(json.dumps({"path": path, "verified": True, "semanticDigest": codec.semantic_digest(d), "policySetId": d.policies.id}))
+    return code
 
 
 def stream(words: list[str], flags: dict[str, list[str]], out) -> int:
-    """Each file is evaluated on its own with a fresh budget; violations add up, and the last file's last row stands."""
+    """Each file is evaluated on its own, with row numbers and a budget of its own, up to the first file that is refused or in error; then
+    nothing but that is reported. Violations add up, and the last row is that of the last file with one."""
+    as_json = _flag(flags, "format-out", "text") == "json"
+
+    def say(status: str, message: str) -> None:
+        out(json.dumps({"status": status, "message": message}) if as_json else f"stream: {message}")
+
     base = _bundle(_flag(flags, "policy"))
     budget = _flag(flags, "row-budget", str(dataset.DEFAULT_ROW_BUDGET))
     if not budget.isdigit() or int(budget) <= 0:
         raise _Exit(USAGE, "--row-budget must be a positive number")
-    try:
-        the_plan = dataset.plan(base.policies, int(budget))
-    except Refusal as e:
-        raise _Exit(EVALUATION_ERROR, str(e)) from e
     if not words:
         raise _Exit(USAGE, "no data sets given")
-    for path in words:
-        if not Path(path).is_file():
-            raise _Exit(ADMISSION_ERROR, f"data set not found: {path}")
+    try:
+        the_plan = dataset.plan(base.policies, int(budget), specs=[dataset.DatasetSpec(Path(w).stem, Path(w).suffix[1:]) for w in words])
+    except Refusal as e:
+        say("plan-refusal", f"plan refused: {e}")
+        return EVALUATION_ERROR
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
@@ -274,24 +293,36 @@ def stream(words: list[str], flags: dict[str, list[str]], out) -> int:
     from verdictframe.sources.readers import read_rows
 
     spark = SparkSession.builder.getOrCreate()
-    total: dict[str, dict[str, object]] = {}
+    violations, last_row, lines = 0, -1, []
     for path in words:
+        if not Path(path).is_file():
+            say("refusal", f"data set not found: {path}")
+            return ADMISSION_ERROR
         rows = materialize(read_rows(spark, f"file://{Path(path).resolve()}"), "rows")
-        if refused := rows.where("refusal is not null").first():
-            raise _Exit(ADMISSION_ERROR, f"{path}: {refused.refusal} at {refused.anchor}")
-        outcomes, metrics = dataset.evaluate_dataset(rows.select("row_no", F.parse_json("row").alias("doc")), the_plan, "row_no", document="doc")
-        for r in outcomes.collect():  # a row for each rule
-            t = total.setdefault(f"{r.policy_id}/{r.rule_id}", {"violations": 0, "lastRow": None, "message": None, "value": None})
-            t["violations"] += r.violations
-            t["lastRow"] = r.last_row if r.last_row is not None else t["lastRow"]
-            t["message"], t["value"] = t["message"] or r.message, r.value
-        m = metrics.first()
-        out(json.dumps({"file": path, "rowsConsumed": m.rows_consumed, "rowsRefused": m.rows_refused}))
-        if any(t["message"] for t in total.values()):
-            break
-    for name, t in sorted(total.items()):
-        out(json.dumps({"rule": name} | t))
-    return EVALUATION_ERROR if any(t["message"] for t in total.values()) else VIOLATIONS if any(t["violations"] for t in total.values()) else OK
+        refused = rows.where("refusal is not null").first()
+        read = rows.where("refusal is null") if refused else rows
+        outcomes = dataset.evaluate_dataset(read.select("row_no", F.parse_json("row").alias("doc")), the_plan, "row_no", document="doc")[0].collect()  # a row for each rule
+        stopped = next((r.message for r in outcomes if r.message and r.message.startswith("row_budget")), None)
+        if stopped:
+            say("budget-exceeded", stopped)
+            return EVALUATION_ERROR
+        if refused:
+            say("decode-refusal", f"{path}: {refused.refusal} at {refused.anchor}")
+            return ADMISSION_ERROR
+        for r in outcomes:
+            if r.outcome == "ERROR":
+                say("refusal", f"rule {r.policy_id}/{r.rule_id}: {r.message}")
+                return EVALUATION_ERROR
+            violations += r.violations
+            last_row = r.last_row if r.outcome == "VIOLATED" and r.last_row is not None else last_row
+            if r.outcome == "AGGREGATE":
+                lines.append(f"aggregate {r.policy_id}/{r.rule_id} = {r.value}")
+    if as_json:
+        out(json.dumps({"status": "violations" if violations else "ok", "violations": violations, "lastViolationRow": last_row}))
+    else:
+        for line in [*lines, f"stream: violations={violations} (last row {last_row})" if violations else "stream: ok"]:
+            out(line)
+    return VIOLATIONS if violations else OK
 
 
 def main(argv: list[str], out=print) -> int:

@@ -14,6 +14,7 @@ from verdictframe.plans.ir import Num
 
 #: Why a source is refused; fixed names.
 MALFORMED, DUPLICATE_KEY, UNSUPPORTED, SCHEMA_FROZEN, ALIAS_EXPANSION = "MALFORMED", "DUPLICATE_KEY", "UNSUPPORTED_HOST_VALUE", "SCHEMA_FROZEN", "ALIAS_EXPANSION_EXCEEDED"
+TOO_LARGE = "TOO_LARGE"
 ALIAS_CAP = 100
 #: File extensions and their formats; fixed names. Nothing is sniffed.
 DOCUMENT_FORMATS = {"json": "JSON", "yaml": "YAML", "yml": "YAML", "csv": "CSV"}
@@ -153,6 +154,17 @@ def decode_json(raw: bytes) -> list[Decoded]:
     return [Decoded("json://document", "JSON", parse_json(_utf8(raw), anchors)[0], anchors)]
 
 
+def jsonl_row(line: bytes) -> dict:
+    """The row of a line; one that is no single object is refused, with {n} in the anchor for its number."""
+    try:
+        value, more = parse_json(_utf8(line))
+    except DecodeRefusal as e:
+        raise DecodeRefusal(e.code, "jsonl://line-{n}" if e.code == MALFORMED else f"jsonl://duplicate-key:{e.anchor}") from e
+    if more or not isinstance(value, dict):
+        raise DecodeRefusal(MALFORMED, f"jsonl://line-{{n}}/{'trailing' if more else 'not-an-object'}")
+    return value
+
+
 def jsonl_rows(raw: bytes):
     """(line number, row) of each line that is not empty; a line that is no single object refuses the stream."""
     n = 0
@@ -161,17 +173,14 @@ def jsonl_rows(raw: bytes):
             continue
         n += 1
         try:
-            value, more = parse_json(_utf8(line))
+            yield n, jsonl_row(line)
         except DecodeRefusal as e:
-            raise DecodeRefusal(e.code, f"jsonl://line-{n}" if e.code == MALFORMED else f"jsonl://duplicate-key:{e.anchor}") from e
-        if more or not isinstance(value, dict):
-            raise DecodeRefusal(MALFORMED, f"jsonl://line-{n}/{'trailing' if more else 'not-an-object'}")
-        yield n, value
+            raise DecodeRefusal(e.code, e.anchor.replace("{n}", str(n)) if e.anchor.startswith("jsonl://line-") else e.anchor) from e
 
 
 # CSV
 
-_QUOTED = re.compile(rb'"((?:[^"]|"")*)"')
+_QUOTED = re.compile(rb'"((?:[^"]|"")*+)"')
 _PLAIN = re.compile(rb"[^,\r\n]*")
 
 

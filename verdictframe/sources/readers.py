@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from verdictframe.plans.ir import Refusal
 from verdictframe.sources import decoders
+from verdictframe.sources.splits import read_rows
+
+__all__ = ["admit_encoded", "check_budget", "encode_payload", "fast_csv", "fast_jsonl", "from_host", "read_documents", "read_rows"]
 
 #: Bytes that a resource may have, by default and at most; fixed values.
 DEFAULT_BUDGET, BUDGET_CEILING = 64 << 20, 256 << 20
 DOCUMENTS = "path string, resource_id string, format string, doc string, fingerprint string, refusal string, anchor string"
-ROWS = "path string, row_no long, row string, refusal string, anchor string"
 
 
 def check_budget(budget: int) -> int:
@@ -33,7 +35,7 @@ def read_documents(spark: SparkSession, path: str | list[str], *, budget: int =
 
     check_budget(budget)
     files = spark.read.format("binaryFile").load(path)
-    too_long = files.where(F.col("length") > budget).select("path", F.col("path").alias("resource_id"), F.lit(None).cast("string").alias("format"), F.lit(None).cast("string").alias("doc"), F.lit(None).cast("string").alias("fingerprint"), F.lit("TOO_LARGE").alias("refusal"), F.lit(None).cast("string").alias("anchor"))
+    too_long = files.where(F.col("length") > budget).select("path", F.col("path").alias("resource_id"), F.lit(None).cast("string").alias("format"), F.lit(None).cast("string").alias("doc"), F.lit(None).cast("string").alias("fingerprint"), F.lit(decoders.TOO_LARGE).alias("refusal"), F.lit(None).cast("string").alias("anchor"))
 
     def run(frames):
         for pdf in frames:
@@ -51,30 +53,6 @@ def read_documents(spark: SparkSession, path: str | list[str], *, budget: int =
     return files.where(F.col("length") <= budget).select("path", "content").mapInPandas(run, DOCUMENTS).unionByName(too_long)
 
 
-def read_rows(spark: SparkSession, path: str | list[str], *, budget: int = DEFAULT_BUDGET, kind: str | None = None) -> DataFrame:
-    """ROWS of CSV and JSON-lines files, numbered from 1 in each file; the row at which a file is refused has the refusal instead.
-
-    Follows the format's contract exactly, a file for each task; for large files without its special cases see fast_csv and fast_jsonl.
-    """
-    check_budget(budget)
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= budget)
-
-    def run(frames):
-        for pdf in frames:
-            for p, raw in zip(pdf["path"], pdf["content"]):
-                out, n = [], 0
-                try:
-                    rows = decoders.csv_rows(bytes(raw)) if (kind or decoders.format_of(p, decoders.STREAM_FORMATS)) == "CSV" else decoders.jsonl_rows(bytes(raw))
-                    for n, row in rows:
-                        out.append((p, n, decoders.to_json(row), None, None))
-                except decoders.DecodeRefusal as e:
-                    out.append((p, n + 1, None, e.code, e.anchor))
-                for k in range(0, len(out), 10_000):
-                    yield pd.DataFrame(out[k : k + 10_000], columns=["path", "row_no", "row", "refusal", "anchor"])
-
-    return files.select("path", "content").mapInPandas(run, ROWS)
-
-
 def fast_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Splittable CSV for rectangular files with unique headers: all columns text, ragged rows fail, empty cells are empty text."""
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"', mode="FAILFAST", enforceSchema=False)
