@@ -129,3 +129,34 @@ def test_streams_tally_row_rules(spark, tmp_path):
     assert {(r.outcome, r.n) for r in spark.sql("SELECT * FROM outcomes").collect()} == {("PASSED", 20), ("VIOLATED", 10)}
     with pytest.raises(Refusal):
         stream_outcomes(source, one(dsl.rule("v", require=dsl.all_of(ROWS, NUMBERS))), "ts")
+
+
+def test_sums_are_exact(spark):
+    from decimal import Decimal
+
+    def total(values, kind, **more):
+        r = dataset.sum_exact(spark.createDataFrame([(i + 1, v) for i, v in enumerate(values)], f"n long, v {kind}"), "v", **more).first()
+        return r.sum_value, r.rows_summed, r.type_mismatches, r.refusal
+
+    assert total([1e-7, 2e-7], "double") == ("0.0000003", 2, 0, None) and total([0.1] * 10, "double") == ("1", 10, 0, None)
+    assert total([1e30, 1.0, -1e30, 5e-324], "double")[0] == "1." + "0" * 323 + "49"
+    assert total([float("nan"), 1.0], "double") == (None, 0, 1, "TYPE_MISMATCH") and total([1.0, float("inf")], "double", ordinal="n") == (None, 1, 1, "TYPE_MISMATCH")
+    assert total([1, None], "long") == (None, 0, 1, "TYPE_MISMATCH") and total([2**63 - 1] * 4 + [-5], "long")[0] == str(4 * (2**63 - 1) - 5)
+    big = Decimal("9" * 38)
+    assert total([big] * 3, "decimal(38,0)")[0] == str(3 * int(big)) and total([Decimal("-0.000000000000000003")] * 2, "decimal(38,18)")[0] == "-0.000000000000000006"
+    assert total([1, 2, 3], "int", cap=2) == (None, 2, 0, "SUM") and total([1, 2, 3], "int", cap=3)[3] is None and total([], "int") == ("0", 0, 0, None)
+    assert total([1.0, 2.0, None], "double", cap=2, ordinal="n") == (None, 2, 1, "SUM") and total([1.0, None, 2.0], "double", cap=1, ordinal="n")[3] == "SUM"
+    assert total(["1"], "string") == (None, 0, 1, "TYPE_MISMATCH")
+
+
+def test_files_have_budgets_of_their_own_and_the_first_error_ends_the_run(spark):
+    rows = spark.createDataFrame([(f, n, "x" if (f, n) != (2, 3) else None) for f in (1, 2, 3) for n in range(1, 6)], "file_no int, n long, t string")
+    the_plan = dataset.plan(one(dsl.rule("t", require=dsl.root("t").text().eq_text("y"))), row_budget=5)
+    per_file, metrics = dataset.evaluate_dataset(rows, the_plan, "n", by="file_no")
+    assert {(r.file_no, r.outcome, r.violations) for r in per_file.collect()} == {(1, "VIOLATED", 5), (2, "ERROR", 0), (3, "VIOLATED", 5)} and {r.rows_consumed for r in metrics.collect()} == {5}
+    r = dataset.multi_file_outcome(per_file).first()
+    assert (r.outcome, r.violations, r.last_row, r.message) == ("ERROR", 5, 5, "typed refusal at row 3")
+    r = dataset.multi_file_outcome(per_file.where("file_no <> 2")).first()
+    assert (r.outcome, r.violations, r.last_row) == ("VIOLATED", 10, 5)
+    with pytest.raises(Refusal):
+        dataset.plan(the_plan.policies, specs=[dataset.DatasetSpec("d", "csv", requires_global_index=True)])

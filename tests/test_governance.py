@@ -68,10 +68,22 @@ def test_waivers(spark, case):
     assert governance.waive_report(report, waivers, NOW, lambda path: "x" if path == "team" else None, context)[0][3] == want
     df = spark.createDataFrame([(1, 9, "x"), (2, 9, "y"), (3, 1, "x"), (4, None, "x")], "id long, replicas int, team string")
     results = evaluate.evaluate(df.selectExpr("id", "struct(replicas) as spec"), layer("s", LIMIT(5)), "id").join(df.selectExpr("cast(id as string) as resource_id", "team"), "resource_id").withColumn("resource_fingerprint", F.lit("f"))
-    for out in (governance.apply_waivers(results, waivers, NOW, {"team": F.col("team")}, context), governance.join_waivers(results, governance.waivers_frame(spark, waivers), NOW, F.col("team"), "team", context)):
+    for out in (governance.apply_waivers(results, waivers, NOW, {"team": F.col("team")}, context), governance.join_waivers(results, governance.waivers_frame(spark, waivers), NOW, {"team": F.col("team")}, context)):
         assert {r.resource_id: r.waiver_state for r in out.collect()} == {"1": want, "2": "ACTIVE", "3": None, "4": "ACTIVE"}
 
 
+def test_hundreds_of_waivers_over_several_subjects(spark):
+    df = spark.createDataFrame([(i, 9, f"t{i}") for i in range(30)], "id long, replicas int, team string")
+    results = evaluate.evaluate(df.selectExpr("id", "team", "struct(replicas) as spec"), layer("s", LIMIT(5)), "id", keep={"team": "team"}).withColumn("resource_fingerprint", F.lit("f"))
+    many = [Waiver(f"old{i}", "p", "limit", "team", f"t{i}", NOW - 2 * DAY, NOW - DAY) for i in range(0, 900, 2)] + [Waiver(f"id{i}", "p", "limit", "id", str(i), NOW - DAY, NOW + DAY) for i in range(20)]
+    subjects = {"team": F.col("team"), "id": F.col("resource_id")}
+    got = {int(r.resource_id): (r.waiver_id, r.waiver_state) for r in governance.apply_waivers(results, many, NOW, subjects).collect()}
+    assert got == {i: (f"old{i}", "ACTIVE_EXPIRED") if i % 2 == 0 else (f"id{i}", "WAIVED") if i < 20 else (None, "ACTIVE") for i in range(30)}
+    few = governance.apply_waivers(results, many[:8] + many[450:458], NOW, subjects)
+    assert {r.resource_id: r.waiver_id for r in few.collect()} == {r.resource_id: r.waiver_id for r in governance.join_waivers(results, governance.waivers_frame(spark, many[:8] + many[450:458]), NOW, subjects).collect()}
+    assert governance.waiver_counts(governance.apply_waivers(results, many, NOW, subjects)).first().asDict() == {"waived": 10, "active": 20, "expired": 15, "not_yet_valid": 0, "errors": 0}
+
+
 def test_verdicts():
     tree = lambda x: {"spec": {"replicas": x}}
     layers = [("PROJECT", layer("s", LIMIT(5)))]
@@ -102,7 +114,9 @@ def test_differences(spark):
     a, b = (evaluate.evaluate(df, x, "id").withColumn("resource_fingerprint", F.lit(fp)) for x in (old, new))
     got = {(r.rule_id, r.category, r.fingerprint) for r in governance.diff_reports(a, b).collect()}
     assert got == {(e["ruleId"], e["category"], e["fingerprint"]) for e in entries}
-    assert governance.mismatched_corpora(a, b.withColumn("resource_fingerprint", F.lit("x"))).count() == 1
+    other = b.withColumn("resource_fingerprint", F.lit("x"))
+    assert governance.mismatched_corpora(a, other).count() == 1
+    assert [(r.resource_id, r.rule_id, r.category) for r in governance.diff_reports(a, other).collect()] == [("1", None, "CORPUS_MISMATCH")]
     assert len(governance.diff_digest(governance.diff_reports(a, b)).first().diff_digest) == 64
 
 
@@ -113,5 +127,6 @@ def test_row_digests_agree_with_documents(spark):
     rules = dsl.policy_set("s😀", dsl.policy("p", dsl.rule("n", require=dsl.root("n").number().gt(0)), dsl.rule("t", require=dsl.root("t").number().gt(0)), dsl.rule("o", require=dsl.optional_root("zz").number().gt(0))))
     out = evaluate.evaluate(df, rules, "t").join(df.select(F.col("t").alias("resource_id"), evaluate.row_fingerprint(df).alias("resource_fingerprint")), "resource_id")
     digests = {r.resource_id: r.report_digest for r in evaluate.report_digest(out).collect()}
+    assert digests == {r.resource_id: r.report_digest for r in evaluate.report_digests(df, rules, "t", evaluate.row_fingerprint(df)).collect()}
     for t, n, b, u in [("a\n\"q\\", 5, True, None), ("😀", -1, False, "x")]:
         assert digests[t] == interpreter.evaluate(rules, {"t": t, "n": number(n), "b": b, "u": u}).digest

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdictframe.functions.storage import free_names
 from verdictframe.operators.evaluate import encode_parts, violation_fingerprint
 from verdictframe.plans.ir import Authority, Policy, PolicySet, Refusal, Rule
 
@@ -16,6 +17,8 @@ LAYERS = ("PLATFORM", "ORGANIZATION", "PROJECT", "PIPELINE_LOCAL")
 #: Verdicts by precedence; fixed names.
 VERDICTS = ("REFUSED", "ERRORED", "VIOLATED", "PASSED")
 ENFORCED, SHADOW = "ENFORCED", "SHADOW"
+#: Waivers up to which a rule's are a CASE in the plan; more of them are joined.
+CASE_WAIVERS = 16
 #: Rows of waivers up to which they are broadcast.
 BROADCAST_WAIVERS = 100_000
 
@@ -94,6 +97,8 @@ def apply_waivers(results: DataFrame, waivers: list[Waiver], now: datetime, subj
     without one matches nothing. Errors are never waived. Waivers that match are aggregated by the smallest number, so no group is sorted.
     """
     context = context or WaiverContext()
+    if len(waivers) > CASE_WAIVERS:
+        return join_waivers(results, waivers_frame(results.sparkSession, waivers), now, subjects, context)
     fp = violation_fingerprint(F.col("policy_set_id"), F.col("policy_id"), F.col("rule_id"), F.coalesce(F.col("location"), F.lit("")), F.col("resource_fingerprint"))
     broken = F.col("outcome").isin("VIOLATED", "ERROR")
     base = results.withColumn("fingerprint", F.when(broken, fp))
@@ -110,28 +115,43 @@ def apply_waivers(results: DataFrame, waivers: list[Waiver], now: datetime, subj
     return out.withColumn("waiver_id", F.col("_w.id")).withColumn("waiver_state", F.when(broken, F.coalesce(F.col("_w.state"), F.lit("ACTIVE")))).drop("_w")
 
 
-def join_waivers(results: DataFrame, waivers: DataFrame, now: datetime, subject: Column, subject_path: str, context: WaiverContext | None = None) -> DataFrame:
-    """apply_waivers for a table of waivers (WAIVER_SCHEMA), of any size, over one subject path: a join on policy, rule and subject.
+def join_waivers(results: DataFrame, waivers: DataFrame, now: datetime, subjects: dict[str, Column], context: WaiverContext | None = None) -> DataFrame:
+    """apply_waivers for a table of waivers (WAIVER_SCHEMA), of any size: for each subject path a join on policy, rule and subject.
 
-    The table is broadcast only if it is known to be small.
+    The table is broadcast only if it is known to be small. Of all that match, over all paths, the one with the smallest number decides.
     """
     context = context or WaiverContext()
     fp = violation_fingerprint(F.col("policy_set_id"), F.col("policy_id"), F.col("rule_id"), F.coalesce(F.col("location"), F.lit("")), F.col("resource_fingerprint"))
     broken = F.col("outcome").isin("VIOLATED", "ERROR")
-    base = results.withColumn("fingerprint", F.when(broken, fp)).withColumn("_subject", subject)
+    names = free_names([*results.columns, "fingerprint", "waiver_id", "waiver_state"], "w_policy", "w_rule", "w_subject", "w_print", "w_best", "w_hit")
+    policy, rule, subject, mark, best, hit = names
+    base = results.withColumn("fingerprint", F.when(broken, fp)).withColumn(best, F.lit(None).cast("struct<waiver_no:int,waiver_id:string,state:string>"))
     scoped = lambda c, v: F.col(c).isNull() | (F.col(c) == F.lit(v)) if v is not None else F.col(c).isNull()
-    side = waivers.where((F.col("subject_path") == subject_path) & scoped("project_scope", context.project) & scoped("dataset_scope", context.dataset))
     state = F.when(F.lit(now) > F.col("not_after"), "ACTIVE_EXPIRED").when(F.lit(now) < F.col("not_before"), "ACTIVE_NOT_YET_VALID").otherwise("WAIVED")
-    # the first of several waivers for a rule, subject and fingerprint
-    first = side.groupBy("w_policy", "w_rule", "subject_equals", "w_fingerprint").agg(F.min(F.struct("waiver_no", F.col("waiver_id"), state.alias("state"))).alias("w"))
-    exact = first.where("w_fingerprint is not null").select("w_policy", "w_rule", "subject_equals", "w_fingerprint", F.col("w").alias("w1"))
-    loose = first.where("w_fingerprint is null").select("w_policy", "w_rule", "subject_equals", F.col("w").alias("w2"))
-    if waivers.count() <= BROADCAST_WAIVERS:
-        exact, loose = F.broadcast(exact), F.broadcast(loose)
-    on = lambda s: (F.col("policy_id") == s["w_policy"]) & (F.col("rule_id") == s["w_rule"]) & (F.col("_subject") == s["subject_equals"])
-    joined = base.join(exact, on(exact) & (F.col("fingerprint") == exact["w_fingerprint"]), "left").drop(*exact.columns[:4]).join(loose, on(loose), "left").drop(*loose.columns[:3])
-    best = F.when(F.col("outcome") == "VIOLATED", F.least("w1", "w2"))
-    return joined.withColumn("_w", best).withColumn("waiver_id", F.col("_w.waiver_id")).withColumn("waiver_state", F.when(broken, F.coalesce(F.col("_w.state"), F.lit("ACTIVE")))).drop("_w", "w1", "w2", "_subject")
+    small = waivers.count() <= BROADCAST_WAIVERS
+    for path, value in subjects.items():
+        side = waivers.where((F.col("subject_path") == path) & scoped("project_scope", context.project) & scoped("dataset_scope", context.dataset))
+        # the first of several waivers for a rule, subject and fingerprint
+        first = side.groupBy(F.col("w_policy").alias(policy), F.col("w_rule").alias(rule), F.col("subject_equals").alias(subject), F.col("w_fingerprint").alias(mark))
+        first = first.agg(F.min(F.struct("waiver_no", "waiver_id", state.alias("state"))).alias(hit))
+        for exact in (True, False):
+            part = first.where(F.col(mark).isNotNull() if exact else F.col(mark).isNull())
+            on = (F.col("policy_id") == F.col(policy)) & (F.col("rule_id") == F.col(rule)) & (value == F.col(subject))
+            on = on & (F.col("fingerprint") == F.col(mark)) if exact else on
+            joined = base.join(F.broadcast(part) if small else part, on, "left")
+            base = joined.withColumn(best, F.least(F.col(best), F.col(hit))).drop(policy, rule, subject, mark, hit)
+    found = F.when(F.col("outcome") == "VIOLATED", F.col(best))
+    return base.withColumn("waiver_id", found["waiver_id"]).withColumn("waiver_state", F.when(broken, F.coalesce(found["state"], F.lit("ACTIVE")))).drop(best)
+
+
+def waiver_counts(results: DataFrame, *by: str) -> DataFrame:
+    """waived, active, expired, not_yet_valid, errors: results with a waiver_state by what became of them; for each value of `by`, or in all."""
+    violated = F.col("outcome") == "VIOLATED"
+    of = lambda *states: F.count_if(violated & F.col("waiver_state").isin(*states))
+    return results.groupBy(*by).agg(
+        of("WAIVED").alias("waived"), of("ACTIVE", "ACTIVE_EXPIRED", "ACTIVE_NOT_YET_VALID").alias("active"), of("ACTIVE_EXPIRED").alias("expired"),
+        of("ACTIVE_NOT_YET_VALID").alias("not_yet_valid"), F.count_if(F.col("outcome") == "ERROR").alias("errors"),
+    )
 
 
 def tally(results: DataFrame, *by: str) -> DataFrame:
@@ -156,10 +176,11 @@ def verdicts(results: DataFrame, enforcement: str, *by: str, refusals: Column |
 
 
 def diff_reports(a: DataFrame, b: DataFrame, waived: bool = False) -> DataFrame:
-    """resource_id, policy_id, rule_id, category, fingerprint, privilege_expansion of what differs between two reports on the same resources.
+    """resource_id, policy_id, rule_id, category, policy_set_id, fingerprint, privilege_expansion of what differs between two reports.
 
     Both have resource_fingerprint; a rule that one lacks counts as not applicable there. With `waived`, both have waiver_state, a waived
     violation counts as passed where the raw outcomes differ, and where they agree a waiver on one side only is WAIVER_EFFECT_CHANGED.
+    A resource whose fingerprints differ is not compared: it has the one row CORPUS_MISMATCH, without policy, rule and fingerprint.
     """
     keys = ["resource_id", "policy_id", "rule_id"]
 
@@ -167,7 +188,8 @@ def diff_reports(a: DataFrame, b: DataFrame, waived: bool = False) -> DataFrame:
         is_waived = F.coalesce(F.col("waiver_state") == "WAIVED", F.lit(False)) if waived else F.lit(False)
         return df.select(*keys, F.col("policy_set_id").alias(f"set_{n}"), F.col("outcome").alias(f"raw_{n}"), F.col("severity").alias(f"sev_{n}"), F.coalesce("location", F.lit("root")).alias(f"loc_{n}"), F.col("resource_fingerprint").alias(f"fp_{n}"), is_waived.alias(f"w_{n}"))
 
-    j = side(a, "a").join(side(b, "b"), keys, "full_outer")
+    differ = mismatched_corpora(a, b)
+    j = side(a, "a").join(side(b, "b"), keys, "full_outer").join(differ, "resource_id", "left_anti")
     raw = {n: F.coalesce(F.col(f"raw_{n}"), F.lit("NOT_APPLICABLE")) for n in "ab"}
     w = {n: F.coalesce(F.col(f"w_{n}"), F.lit(False)) for n in "ab"}
     same = raw["a"] == raw["b"]
@@ -184,13 +206,16 @@ def diff_reports(a: DataFrame, b: DataFrame, waived: bool = False) -> DataFrame:
     pick = lambda n: F.when(has_a, F.col(f"{n}_a")).otherwise(F.col(f"{n}_b"))
     fp = violation_fingerprint(pick("set"), F.col("policy_id"), F.col("rule_id"), pick("loc"), pick("fp"))
     each = j.select(*keys, F.explode(F.array_compact(F.array(category, effect))).alias("category"), pick("set").alias("policy_set_id"), fp.alias("fingerprint"))
-    return each.withColumn("privilege_expansion", F.col("category") == "RESOLVED_VIOLATION")
+    none = F.lit(None).cast("string")
+    refused = differ.select("resource_id", none.alias("policy_id"), none.alias("rule_id"), F.lit("CORPUS_MISMATCH").alias("category"), none.alias("policy_set_id"), none.alias("fingerprint"))
+    return each.unionByName(refused).withColumn("privilege_expansion", F.col("category") == "RESOLVED_VIOLATION")
 
 
 def mismatched_corpora(a: DataFrame, b: DataFrame) -> DataFrame:
     """resource_ids whose fingerprints differ between two reports: these can't be compared."""
-    pick = lambda df, n: df.select("resource_id", F.col("resource_fingerprint").alias(n)).distinct()
-    return pick(a, "fp_a").join(pick(b, "fp_b"), "resource_id").where("fp_a <> fp_b").select("resource_id")
+    both = a.select("resource_id", "resource_fingerprint").unionByName(b.select("resource_id", "resource_fingerprint"))
+    seen = both.groupBy("resource_id").agg(F.min("resource_fingerprint").alias("least"), F.max("resource_fingerprint").alias("most"))
+    return seen.where("least <> most").select("resource_id")
 
 
 def diff_digest(diff: DataFrame, *by: str) -> DataFrame:

@@ -79,10 +79,8 @@ _rule_query(
 )
 def rule_forbid_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
-    name = F.concat_ws("/", "l_orderkey", "l_linenumber")
-    out = evaluate.evaluate(df, _set(dsl.rule("big-discount", forbid=dsl.root("l_discount").number().gt(0.05))), name)
-    parts = F.split("resource_id", "/")
-    return out.select(parts[0].alias("resource_id"), parts[1].cast("int").alias("l_linenumber"), "outcome", "expected")
+    out = evaluate.evaluate(df, _set(dsl.rule("big-discount", forbid=dsl.root("l_discount").number().gt(0.05))), "l_orderkey", keep={"l_linenumber": "l_linenumber"})
+    return out.select("resource_id", "l_linenumber", "outcome", "expected")
 
 
 @register(
@@ -294,9 +292,32 @@ def ds_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.evaluate_dataset(_numbered_events(spark, sf_dir), dataset.plan(_set(*rules), row_budget=800, cap=10), "n")[1]
 
 
-@register("ds_sum", "SELECT CAST(sum(CAST(l_quantity AS DECIMAL(28,6))) AS DECIMAL(38,6)) AS sum_value, CAST(0 AS BIGINT) AS type_mismatches FROM lineitem")
-def ds_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.sum_exact(table(spark, sf_dir, "lineitem"), "l_quantity")
+def _sum_query(name: str, source: str, column: str, scale: int) -> None:
+    exact = f"CAST(sum(CAST({column} AS DECIMAL(28,{scale}))) AS VARCHAR)"
+    text = f"regexp_replace(regexp_replace({exact}, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')" if scale else exact
+
+    @register(name, f"SELECT {text} AS sum_value, count(*) AS rows_summed, CAST(0 AS BIGINT) AS type_mismatches, CAST(NULL AS VARCHAR) AS refusal FROM {source}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return dataset.sum_exact(table(spark, sf_dir, source), column, cap=1 << 62)
+
+
+_sum_query("ds_sum", "lineitem", "l_extendedprice", 6)
+_sum_query("ds_sum_of_integers", "orders", "o_orderkey", 0)
+
+
+@register("ds_sum_refused", "SELECT CAST(NULL AS VARCHAR) AS sum_value, CAST(700 AS BIGINT) AS rows_summed, CAST(0 AS BIGINT) AS type_mismatches, 'SUM' AS refusal FROM events LIMIT 1")
+def ds_sum_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.sum_exact(_numbered_events(spark, sf_dir), "value", cap=700, ordinal="n")
+
+
+@register(
+    "ds_sum_mismatch",
+    "SELECT CAST(NULL AS VARCHAR) AS sum_value, min(event_id) FILTER (event_type = 'click') AS rows_summed, count(*) FILTER (event_type = 'click') AS type_mismatches, 'TYPE_MISMATCH' AS refusal FROM events",
+)
+def ds_sum_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks have no finite value."""
+    df = _numbered_events(spark, sf_dir).withColumn("value", F.when(F.col("event_type") == "click", F.lit(float("nan"))).otherwise(F.col("value").cast("double")))
+    return dataset.sum_exact(df, "value", cap=1 << 62, ordinal="n")
 
 
 @register("ds_ordinal", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS ordinal FROM orders")
@@ -304,14 +325,40 @@ def ds_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.with_ordinal(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.col("ordinal").cast("long").alias("ordinal"))
 
 
+def _files_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as three files, by event_id, whose rows are numbered from 1 each."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return rows.select("event_type", "value", (F.col("event_id") % 3).alias("file_no"), (F.floor(F.col("event_id") / 3) + 1).alias("n"))
+
+
+_FILE_SQL = "(SELECT event_type, value, event_id % 3 AS file_no, event_id // 3 + 1 AS n FROM events)"
+
+
 @register(
     "ds_multi_file",
-    "SELECT 'value' AS rule_id, CASE WHEN count(*) FILTER (value < 10) > 0 THEN 'VIOLATED' ELSE 'PASSED' END AS outcome, count(*) FILTER (value < 10) AS violations, arg_max(event_id + 1, (event_id % 3) * 100000000 + event_id) FILTER (value < 10) AS last_row FROM events",
+    "SELECT 'value' AS rule_id, CASE WHEN count(*) FILTER (value < 10) > 0 THEN 'VIOLATED' ELSE 'PASSED' END AS outcome, count(*) FILTER (value < 10) AS violations, "
+    f"arg_max(n, (file_no, n)) FILTER (value < 10) AS last_row FROM {_FILE_SQL}",
 )
 def ds_multi_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, the_plan = _numbered_events(spark, sf_dir), dataset.plan(_set(dsl.rule("value", require=dsl.root("value").number().gte(10))))
-    files = [dataset.evaluate_dataset(rows.where((F.col("n") - 1) % 3 == i), the_plan, "n")[0].withColumn("file_no", F.lit(i)) for i in range(3)]
-    return dataset.multi_file_outcome(files[0].unionByName(files[1]).unionByName(files[2])).select("rule_id", "outcome", "violations", "last_row")
+    """Each file has a budget of its own, which the largest just keeps."""
+    rows = _files_of_events(spark, sf_dir)
+    the_plan = dataset.plan(_set(dsl.rule("value", require=dsl.root("value").number().gte(10))), row_budget=rows.agg(F.max("n")).first()[0] or 1)
+    per_file, _ = dataset.evaluate_dataset(rows, the_plan, "n", by="file_no")
+    return dataset.multi_file_outcome(per_file).select("rule_id", "outcome", "violations", "last_row")
+
+
+@register(
+    "ds_multi_file_abort",
+    f"SELECT r.rule_id, CASE r.rule_id WHEN 'value' THEN CASE WHEN count(*) FILTER (file_no < 2 AND value < 10) > 0 THEN 'VIOLATED' ELSE 'PASSED' END ELSE 'ERROR' END AS outcome, "
+    "CASE r.rule_id WHEN 'value' THEN count(*) FILTER (file_no < 2 AND value < 10) ELSE 0 END AS violations, CASE r.rule_id WHEN 'typed' THEN 'typed refusal at row 4' END AS message "
+    f"FROM {_FILE_SQL} CROSS JOIN (VALUES ('value'), ('typed')) r(rule_id) GROUP BY r.rule_id",
+)
+def ds_multi_file_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From its fourth row on the second file has no text: it is the last one that counts."""
+    rows = _files_of_events(spark, sf_dir).withColumn("note", F.when((F.col("file_no") < 1) | (F.col("n") < 4), F.lit("x")))
+    rules = (dsl.rule("value", require=dsl.root("value").number().gte(10)), dsl.rule("typed", require=dsl.root("note").text().eq_text("x")))
+    per_file, _ = dataset.evaluate_dataset(rows, dataset.plan(_set(*rules), row_budget=1 << 62), "n", by="file_no")
+    return dataset.multi_file_outcome(per_file).select("rule_id", "outcome", "violations", "message")
 
 
 # governance
@@ -356,8 +403,8 @@ _WAIVER_SQL = (
 
 def _supplier_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    out = evaluate.evaluate(df, _set(_BALANCE), "s_suppkey").withColumn("resource_fingerprint", F.sha2("resource_id", 256))
-    return out.join(df.select(F.col("s_suppkey").cast("string").alias("resource_id"), F.col("s_nationkey").cast("string").alias("nation")), "resource_id")
+    out = evaluate.evaluate(df, _set(_BALANCE), "s_suppkey", keep={"nation": F.col("s_nationkey").cast("string")})
+    return out.withColumn("resource_fingerprint", F.sha2("resource_id", 256))
 
 
 @register("gov_waivers", _WAIVER_SQL)
@@ -368,10 +415,28 @@ def gov_waivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("gov_waivers_join", _WAIVER_SQL)
 def gov_waivers_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = governance.join_waivers(_supplier_results(spark, sf_dir), governance.waivers_frame(spark, WAIVERS), NOW, F.col("nation"), "nation", governance.WaiverContext(project="mine"))
+    out = governance.join_waivers(_supplier_results(spark, sf_dir), governance.waivers_frame(spark, WAIVERS), NOW, {"nation": F.col("nation")}, governance.WaiverContext(project="mine"))
     return out.select("resource_id", "outcome", "waiver_id", "waiver_state")
 
 
+@register("gov_many_waivers", "SELECT CAST(s_suppkey AS VARCHAR) AS resource_id, CASE WHEN s_acctbal < 5000 AND s_suppkey % 2 = 1 AND s_suppkey < 1200 THEN 'w' || s_suppkey END AS waiver_id, CASE WHEN s_acctbal < 5000 THEN CASE WHEN s_suppkey % 2 = 1 AND s_suppkey < 1200 THEN 'WAIVED' ELSE 'ACTIVE' END END AS waiver_state FROM supplier")
+def gov_many_waivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """600 waivers, each for one supplier."""
+    many = [governance.Waiver(f"w{i}", "p", "balance", "supplier", str(i), _day(2025, 1, 1), _day(2025, 12, 31)) for i in range(1, 1200, 2)]
+    out = governance.apply_waivers(_supplier_results(spark, sf_dir), many, NOW, {"supplier": F.col("resource_id")})
+    return out.select("resource_id", "waiver_id", "waiver_state")
+
+
+@register(
+    "gov_waiver_counts",
+    "SELECT CAST(s_nationkey AS VARCHAR) AS nation, CASE WHEN s_nationkey IN (5, 11) THEN n ELSE 0 END AS waived, CASE WHEN s_nationkey IN (5, 11) THEN 0 ELSE n END AS active, CASE WHEN s_nationkey = 3 THEN n ELSE 0 END AS expired, "
+    "CASE WHEN s_nationkey = 7 THEN n ELSE 0 END AS not_yet_valid, CAST(0 AS BIGINT) AS errors FROM (SELECT s_nationkey, count(*) FILTER (s_acctbal < 5000) AS n FROM supplier GROUP BY s_nationkey)",
+)
+def gov_waiver_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = governance.apply_waivers(_supplier_results(spark, sf_dir), WAIVERS, NOW, {"nation": F.col("nation")}, governance.WaiverContext(project="mine"))
+    return governance.waiver_counts(out, "nation")
+
+
 _SEGMENT_RULES = (dsl.rule("balance", require=dsl.root("c_acctbal").number().gte(-900)), dsl.rule("nation", require=dsl.root("c_nationkey").number().lt(24)))
 
 
@@ -383,8 +448,8 @@ def _verdict_query(name: str, enforcement: str) -> None:
     )
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
-        out = evaluate.evaluate(df, _set(*_SEGMENT_RULES), F.concat_ws("|", "c_custkey", "c_mktsegment"))
-        return governance.verdicts(out.withColumn("c_mktsegment", F.split("resource_id", r"\|")[1]), enforcement, "c_mktsegment")
+        out = evaluate.evaluate(df, _set(*_SEGMENT_RULES), "c_custkey", keep={"c_mktsegment": "c_mktsegment"})
+        return governance.verdicts(out, enforcement, "c_mktsegment")
 
 
 _verdict_query("gov_verdict_enforced", governance.ENFORCED)
@@ -398,7 +463,7 @@ _SIDE_B = (dsl.rule("short", require=dsl.root("n_chars").number().lte(5000)), ds
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     df = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
-    made = [evaluate.evaluate(df, _set(*rules), "doc_id").withColumn("resource_fingerprint", F.sha2("resource_id", 256)) for rules in (_SIDE_A, _SIDE_B)]
+    made = [evaluate.evaluate(df, _set(*rules), "doc_id", keep={"doc_lang": "lang"}).withColumn("resource_fingerprint", F.sha2("resource_id", 256)) for rules in (_SIDE_A, _SIDE_B)]
     return made[0], made[1]
 
 
@@ -426,14 +491,31 @@ def diff_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diff_waiver_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of English documents are waived on the first side only."""
     a, b = (x.where("rule_id = 'short'") for x in _sides(spark, sf_dir))
-    lang = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("resource_id"), "lang")
-    state = F.when(F.col("outcome") == "VIOLATED", F.when(F.col("lang") == "en", "WAIVED").otherwise("ACTIVE"))
-    a = a.join(lang, "resource_id").withColumn("waiver_state", state)
+    a = a.withColumn("waiver_state", F.when(F.col("outcome") == "VIOLATED", F.when(F.col("doc_lang") == "en", "WAIVED").otherwise("ACTIVE")))
     b = b.withColumn("waiver_state", F.when(F.col("outcome") == "VIOLATED", "ACTIVE"))
     return governance.diff_reports(a, b, waived=True).select("resource_id", "rule_id", "category")
 
 
-@register("diff_digest")
+@register(
+    "diff_corpora",
+    "SELECT CAST(doc_id AS VARCHAR) AS resource_id, 'short' AS rule_id, 'RESOLVED_VIOLATION' AS category FROM documents WHERE n_chars > 3000 AND n_chars <= 5000 AND doc_id % 5 <> 0 "
+    "UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, 'CORPUS_MISMATCH' FROM documents WHERE doc_id % 5 = 0",
+)
+def diff_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document is another one on the second side."""
+    a, b = (x.where("rule_id = 'short'") for x in _sides(spark, sf_dir))
+    changed = F.when(F.col("resource_id").cast("long") % 5 == 0, F.lit("changed")).otherwise(F.col("resource_fingerprint"))
+    return governance.diff_reports(a, b.withColumn("resource_fingerprint", changed)).select("resource_id", "rule_id", "category")
+
+
+_ENTRY_SQL = "length(category) || ':' || category || length(fingerprint) || ':' || fingerprint || length(k) || ':' || k || length(x) || ':' || x"
+
+
+@register(
+    "diff_digest",
+    "SELECT resource_id, sha256(count(*) || ':' || string_agg(" + _ENTRY_SQL + ", '' ORDER BY category, fingerprint, k)) AS diff_digest FROM (SELECT resource_id, category, fingerprint, "
+    "'1:s1:p' || length(rule_id) || ':' || rule_id AS k, CAST(privilege_expansion AS VARCHAR) AS x FROM (" + _DIFF_SQL + ")) GROUP BY resource_id",
+)
 def diff_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _sides(spark, sf_dir)
     return governance.diff_digest(governance.diff_reports(a, b), "resource_id")
@@ -441,26 +523,40 @@ def diff_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # digests
 
-_NATION_ROW = "'{\"n_name\":{\"type\":\"text\",\"v\":\"' || n_name || '\"}, \"n_nationkey\":{\"type\":\"number\",\"v\":' || n_nationkey || '}, \"n_regionkey\":{\"type\":\"number\",\"v\":' || n_regionkey || '}}'"
+_ORDER_COLUMNS = ("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
+_ORDER_ROW = (
+    "'{\"o_custkey\":{\"type\":\"number\",\"v\":' || o_custkey || '}, \"o_orderkey\":{\"type\":\"number\",\"v\":' || o_orderkey || '}, "
+    "\"o_orderpriority\":{\"type\":\"text\",\"v\":\"' || o_orderpriority || '\"}, \"o_orderstatus\":{\"type\":\"text\",\"v\":\"' || o_orderstatus || '\"}}'"
+)
 
 
-@register("fingerprints", f"SELECT CAST(n_nationkey AS VARCHAR) AS resource_id, sha256({_NATION_ROW}) AS resource_fingerprint FROM nation")
+@register("fingerprints", f"SELECT CAST(o_orderkey AS VARCHAR) AS resource_id, sha256({_ORDER_ROW}) AS resource_fingerprint FROM orders")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "nation")
-    return df.select(F.col("n_nationkey").cast("string").alias("resource_id"), evaluate.row_fingerprint(df).alias("resource_fingerprint"))
+    df = table(spark, sf_dir, "orders").select(*_ORDER_COLUMNS)
+    return df.select(F.col("o_orderkey").cast("string").alias("resource_id"), evaluate.row_fingerprint(df).alias("resource_fingerprint"))
 
 
-@register(
-    "report_digest",
-    "WITH r AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, n_regionkey, sha256(" + _NATION_ROW + ") AS fp FROM nation), t AS (SELECT id, fp, CASE WHEN n_regionkey <= 2 THEN 'passed' ELSE "
-    "'violated1:17:COMPARISON_FAILED11:n_regionkey6:region3:<=21:' || n_regionkey END AS body FROM r) "
-    "SELECT id AS resource_id, sha256('1:s64:' || fp || '1:' || '14:1:s1:p6:region' || length(body) || ':' || body) AS report_digest FROM t",
+# two rules, of which the key of the second sorts first: 1:s1:p3:abc and 1:s1:p4:cust
+_DIGEST_RULES = (dsl.rule("cust", require=dsl.root("o_custkey").number().lte(700)), dsl.rule("abc", require=dsl.root("o_orderstatus").text().eq_text("O")))
+_DIGEST_SQL = (
+    "WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS c, o_orderstatus AS st, sha256(" + _ORDER_ROW + ") AS fp, o_custkey FROM orders), t AS (SELECT id, fp, "
+    "CASE WHEN o_custkey <= 700 THEN 'passed' ELSE 'violated1:17:COMPARISON_FAILED9:o_custkey4:cust5:<=700' || length(c) || ':' || c END AS cust, "
+    "CASE WHEN st = 'O' THEN 'passed' ELSE 'violated1:17:COMPARISON_FAILED13:o_orderstatus3:abc7:==textO' || length(st) || ':' || st END AS abc FROM r) "
+    "SELECT id AS resource_id, sha256('1:s64:' || fp || '2:' || '11:1:s1:p3:abc' || length(abc) || ':' || abc || '12:1:s1:p4:cust' || length(cust) || ':' || cust) AS report_digest FROM t"
 )
+
+
+@register("report_digest", _DIGEST_SQL)
 def report_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "nation")
-    out = evaluate.evaluate(df, _set(dsl.rule("region", require=dsl.root("n_regionkey").number().lte(2))), "n_nationkey")
-    fp = df.select(F.col("n_nationkey").cast("string").alias("resource_id"), evaluate.row_fingerprint(df).alias("resource_fingerprint"))
-    return evaluate.report_digest(out.join(fp, "resource_id"))
+    df = table(spark, sf_dir, "orders").select(*_ORDER_COLUMNS)
+    return evaluate.report_digests(df, _set(*_DIGEST_RULES), "o_orderkey", evaluate.row_fingerprint(df))
+
+
+@register("report_digest_of_results", _DIGEST_SQL)
+def report_digest_of_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from long results, gathered by resource."""
+    df = table(spark, sf_dir, "orders").select(*_ORDER_COLUMNS)
+    return evaluate.report_digest(evaluate.evaluate(df, _set(*_DIGEST_RULES), "o_orderkey", keep={"resource_fingerprint": evaluate.row_fingerprint(df)}))
 
 
 # findings
@@ -472,16 +568,21 @@ def report_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def findings_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "pages").select("page_id")
-    out = evaluate.evaluate(df, _set(dsl.rule("url", require=dsl.root("page_id").number().lt(20))), F.concat_ws("|", (F.col("page_id") % 7).cast("string"), F.col("page_id").cast("string")))
-    parts = F.split("resource_id", r"\|")
-    out = out.withColumn("_n", parts[1].cast("long")).withColumn("resource_id", parts[0]).withColumn("resource_fingerprint", F.lit("f"))
-    return findings.findings(out, F.col("_n")).select("rule_id", "resource_id", "state", "path", "actual", "remediation")
+    out = evaluate.evaluate(df, _set(dsl.rule("url", require=dsl.root("page_id").number().lt(20))), (F.col("page_id") % 7).cast("string"), keep={"page": "page_id"})
+    return findings.findings(out.withColumn("resource_fingerprint", F.lit("f")), F.col("page")).select("rule_id", "resource_id", "state", "path", "actual", "remediation")
 
 
-@register("findings_events", "SELECT 'v1' || chr(31) || 'VIOLATED' || chr(31) || count(*) || chr(31) || '-' || chr(31) || 's' || chr(31) || 'SHADOW' || chr(31) || 'true' AS event FROM customer WHERE c_acctbal < 0")
+@register(
+    "findings_events",
+    "SELECT resource_id, 'v1' || chr(31) || CASE WHEN n > 0 THEN 'VIOLATED' ELSE 'PASSED' END || chr(31) || n || chr(31) || report_digest || chr(31) || 's' || chr(31) || 'SHADOW' || chr(31) || CASE WHEN n > 0 THEN 'true' ELSE 'false' END AS event "
+    "FROM (" + _DIGEST_SQL + ") JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS resource_id, CAST(o_custkey > 700 AS INT) + CAST(o_orderstatus <> 'O' AS INT) AS n FROM orders) USING (resource_id)",
+)
 def findings_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "customer").where("c_acctbal < 0").agg(F.count(F.lit(1)).alias("n"))
-    return n.select(findings.event_column(F.lit("VIOLATED"), F.col("n"), F.lit(None).cast("string"), F.lit("s"), F.lit("SHADOW"), F.lit(True)).alias("event"))
+    """The event of each order's check: its verdict, its violating rules and the digest of its report."""
+    df, rules = table(spark, sf_dir, "orders").select(*_ORDER_COLUMNS), _set(*_DIGEST_RULES)
+    decided = governance.verdicts(evaluate.evaluate(df, rules, "o_orderkey"), governance.SHADOW, "resource_id")
+    checked = decided.join(evaluate.report_digests(df, rules, "o_orderkey", evaluate.row_fingerprint(df)), "resource_id")
+    return checked.select("resource_id", findings.event_column(F.col("verdict"), F.col("violating_rules"), F.col("report_digest"), F.lit("s"), F.lit(governance.SHADOW), F.col("would_deny")).alias("event"))
 
 
 # sources
@@ -518,6 +619,138 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.evaluate(docs, _set(rule), name, document="doc").select("resource_id", "outcome")
 
 
+def _written(spark: SparkSession, name: str, lines: DataFrame) -> str:
+    """A path of text files with these values as their lines."""
+    path = fresh_path(spark, name)
+    lines.write.format("text").save(path)
+    return f"{path}/part-*"
+
+
+@register("scan_csv_cells", "SELECT count(*) AS n_rows, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(doc_id) AS BIGINT) AS last_id, CAST(0 AS BIGINT) AS refusals FROM documents")
+def scan_csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted cells with commas, quotes and line ends, read in splits that begin anywhere."""
+    from verdictframe.sources import readers
+
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    body = table(spark, sf_dir, "documents").sort("doc_id").coalesce(1).select(F.concat(F.when(F.col("doc_id") == 0, F.lit("doc_id,text\n")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(","), quoted).alias("value"))
+    path = _written(spark, "scan_csv_cells", body)
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(name, 300_000)
+    try:
+        rows = readers.read_rows(spark, path, kind="CSV").withColumn("v", F.parse_json("row"))
+        get = lambda c: F.variant_get("v", f"$.{c}", "string")
+        out = rows.agg(F.count("row").alias("n_rows"), F.sum(get("doc_id").cast("long")).alias("ids"), F.sum(F.length(get("text"))).cast("long").alias("chars"), F.max(get("doc_id").cast("long")).alias("last_id"), F.count("refusal").alias("refusals"))
+        return out
+    finally:
+        spark.conf.set(name, before)
+
+
+@register("scan_jsonl_refused", "SELECT min(event_id) + 1 AS row_no, 'MALFORMED' AS refusal, 'jsonl://line-' || (min(event_id) + 1) || '/not-an-object' AS anchor, CAST(min(event_id) AS BIGINT) AS rows_before FROM events WHERE event_type = 'purchase' AND event_id > 100")
+def scan_jsonl_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line that is no object ends its file."""
+    from verdictframe.sources import readers
+
+    bad = (F.col("event_type") == "purchase") & (F.col("event_id") > 100)
+    lines = table(spark, sf_dir, "events").sort("event_id").coalesce(1).select(F.when(bad, F.lit("[1]")).otherwise(F.to_json(F.struct("event_id"))).alias("value"))
+    rows = readers.read_rows(spark, _written(spark, "scan_jsonl_refused", lines), kind="JSONL")
+    return rows.agg(F.max(F.when(F.col("refusal").isNotNull(), F.col("row_no"))).alias("row_no"), F.max("refusal").alias("refusal"), F.max("anchor").alias("anchor"), F.count("row").alias("rows_before"))
+
+
+_SUPPLIER_SQL = "SELECT CAST(s_suppkey AS VARCHAR) AS resource_id, CASE WHEN s_nationkey >= 5 THEN 'PASSED' ELSE 'VIOLATED' END AS outcome, CASE WHEN s_nationkey < 5 THEN 'spec.nation' END AS location FROM supplier"
+
+
+@register("scan_yaml", _SUPPLIER_SQL)
+def scan_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YAML streams of many documents."""
+    from verdictframe.sources import readers
+
+    line = F.concat(F.lit("---\nkey: "), F.col("s_suppkey").cast("string"), F.lit("\nspec: {nation: "), F.col("s_nationkey").cast("string"), F.lit("}"))
+    docs = readers.read_documents(spark, _written(spark, "scan_yaml", table(spark, sf_dir, "supplier").repartition(4, "s_suppkey").select(line.alias("value"))), kind="YAML")
+    docs = docs.where("refusal is null").select(F.parse_json("doc").alias("doc"))
+    rule = dsl.rule("nation", require=dsl.root("spec").field("nation").number().gte(5))
+    return evaluate.evaluate(docs, _set(rule), F.variant_get("doc", "$.key", "string"), document="doc").select("resource_id", "outcome", "location")
+
+
+@register("scan_csv_each_row", "SELECT CAST(s_suppkey AS VARCHAR) AS resource_id, CASE WHEN s_nationkey = 5 THEN 'PASSED' ELSE 'VIOLATED' END AS outcome, CASE WHEN s_nationkey <> 5 THEN CAST(s_nationkey AS VARCHAR) END AS actual FROM supplier")
+def scan_csv_each_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of a CSV document is a document of its own; cells are text."""
+    from verdictframe.sources import readers
+
+    path = fresh_path(spark, "scan_csv_each_row")
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").repartition(3, "s_suppkey").write.option("header", True).csv(path)
+    docs = readers.read_documents(spark, f"{path}/part-*", kind="CSV", each_row=True).where("refusal is null").select(F.parse_json("doc").alias("doc"))
+    rule = dsl.rule("nation", require=dsl.root("s_nationkey").text().eq_text("5"))
+    return evaluate.evaluate(docs, _set(rule), F.variant_get("doc", "$.s_suppkey", "string"), document="doc").select("resource_id", "outcome", "actual")
+
+
+def _region_files(spark: SparkSession, sf_dir: str, name: str, lines) -> str:
+    """A path with a file for each region, of the lines that `lines` makes of it."""
+    regions = table(spark, sf_dir, "region").select(lines.alias("value"), "r_regionkey")
+    path = fresh_path(spark, name)
+    regions.repartitionByRange(5, "r_regionkey").select("value").write.option("maxRecordsPerFile", 1).format("text").save(path)
+    return f"{path}/part-*"
+
+
+@register("scan_csv_document", "SELECT CAST(r_regionkey AS VARCHAR) AS region, CASE WHEN r_regionkey < 3 THEN 'PASSED' ELSE 'VIOLATED' END AS outcome FROM region")
+def scan_csv_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file as one document, a sequence of rows of which ALL must have a cell of the region's key or less."""
+    from verdictframe.sources import readers
+
+    key = F.col("r_regionkey").cast("string")
+    odd = F.when(F.col("r_regionkey") >= 3, F.lit("y")).otherwise(F.lit("x"))
+    docs = readers.read_documents(spark, _region_files(spark, sf_dir, "scan_csv_document", F.concat(F.lit("key,flag\n"), key, F.lit(",x\n"), key, F.lit(","), odd)), kind="CSV").where("refusal is null")
+    docs = docs.select(F.parse_json(F.concat(F.lit('{"rows":'), F.col("doc"), F.lit("}"))).alias("doc"))
+    flagged = F.expr("forall(variant_get(doc, '$.rows', 'array<variant>'), r -> variant_get(r, '$.flag', 'string') = 'x')")
+    made = docs.select(F.variant_get("doc", "$.rows[0].key", "string").alias("region"), flagged.alias("flagged"))
+    return evaluate.evaluate(made, _set(dsl.rule("all", require=dsl.root("flagged").boolean().eq_bool(True))), "region").select(F.col("resource_id").alias("region"), "outcome")
+
+
+@register("scan_csv_frozen", "SELECT count(*) FILTER (r_regionkey < 2) AS read, count(*) FILTER (r_regionkey >= 2) AS refused, 'SCHEMA_FROZEN' AS refusal, 'cell(4,1)' AS anchor FROM region")
+def scan_csv_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds are frozen from the first two rows; a later cell that breaks them refuses its file, with its place."""
+    from verdictframe.sources import readers
+
+    last = F.when(F.col("r_regionkey") < 2, F.lit("7")).otherwise(F.lit("seven"))
+    docs = readers.read_documents(spark, _region_files(spark, sf_dir, "scan_csv_frozen", F.concat(F.lit("n,t\n1,a\n2,b\n"), last, F.lit(",c"))), kind="CSV", infer_sample=2)
+    return docs.agg(F.count("doc").alias("read"), F.count("refusal").alias("refused"), F.max("refusal").alias("refusal"), F.max("anchor").alias("anchor"))
+
+
+@register("scan_refusals", "SELECT CASE WHEN r_regionkey = 1 THEN 'DUPLICATE_KEY' WHEN r_regionkey = 2 THEN 'MALFORMED' ELSE 'READ' END AS state, count(*) AS n FROM region GROUP BY 1")
+def scan_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON documents of which one repeats a key and one is cut short."""
+    from verdictframe.sources import readers
+
+    text = F.when(F.col("r_regionkey") == 1, F.lit('{"a": 1, "a": 2}')).when(F.col("r_regionkey") == 2, F.lit('{"a": ')).otherwise(F.concat(F.lit('{"a": '), F.col("r_regionkey").cast("string"), F.lit("}")))
+    docs = readers.read_documents(spark, _region_files(spark, sf_dir, "scan_refusals", text), kind="JSON")
+    return docs.groupBy(F.coalesce("refusal", F.lit("READ")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("scan_host_maps", "SELECT r_name AS resource_id, CASE WHEN r_regionkey >= 2 THEN 'PASSED' ELSE 'VIOLATED' END AS outcome FROM region")
+def scan_host_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdictframe.sources import readers
+
+    host = {r.r_name: {"key": r.r_regionkey, "names": [r.r_name], "none": None} for r in table(spark, sf_dir, "region").collect()}
+    docs = readers.from_host(spark, host).select("resource_id", F.parse_json("doc").alias("doc"))
+    return evaluate.evaluate(docs, _set(dsl.rule("key", require=dsl.root("key").number().gte(2))), "resource_id", document="doc").select("resource_id", "outcome")
+
+
+@register("bundle_rules", "SELECT CAST(o_orderkey AS VARCHAR) AS resource_id, CASE WHEN o_orderstatus = 'O' THEN 'PASSED' ELSE 'VIOLATED' END AS abc, CASE WHEN o_custkey <= 700 THEN 'PASSED' ELSE 'VIOLATED' END AS cust FROM orders")
+def bundle_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that were lowered, packed as a bundle, verified and read back."""
+    from verdictframe.plans import codec
+
+    document = codec.unpack(codec.pack(codec.lower(_set(*_DIGEST_RULES))))[0]
+    out = evaluate.evaluate(table(spark, sf_dir, "orders").select(*_ORDER_COLUMNS), document.policies, "o_orderkey")
+    return out.groupBy("resource_id").agg(F.max(F.when(F.col("rule_id") == "abc", F.col("outcome"))).alias("abc"), F.max(F.when(F.col("rule_id") == "cust", F.col("outcome"))).alias("cust"))
+
+
+@register("rule_field_as_boolean", "SELECT CAST(doc_id AS VARCHAR) AS resource_id, 'ERROR' AS outcome, 'TYPE_MISMATCH' AS code FROM labels")
+def rule_field_as_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field is no condition on its own, even if it is a boolean."""
+    df = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") > 0).alias("toxic"))
+    return evaluate.evaluate(df, _set(dsl.rule("toxic", require=dsl.root("toxic").boolean().expression)), "doc_id").select("resource_id", "outcome", "code")
+
+
 @register(
     "scan_admission",
     "SELECT admission, count(*) AS n FROM (SELECT CASE WHEN length(to_base64(encode(text))) > 2668 THEN 'TOO_LARGE' WHEN strlen(text) > 2000 THEN 'TOO_LARGE' ELSE 'OK' END AS admission FROM documents) GROUP BY admission",
