@@ -130,3 +130,18 @@ def test_row_digests_agree_with_documents(spark):
     assert digests == {r.resource_id: r.report_digest for r in evaluate.report_digests(df, rules, "t", evaluate.row_fingerprint(df)).collect()}
     for t, n, b, u in [("a\n\"q\\", 5, True, None), ("😀", -1, False, "x")]:
         assert digests[t] == interpreter.evaluate(rules, {"t": t, "n": number(n), "b": b, "u": u}).digest
+
+
+def test_findings_of_rows_have_the_fields_of_documents(spark):
+    import json
+
+    from verdictframe.operators import findings
+
+    df = spark.createDataFrame([(1, 9, "a\n\"é"), (2, 9, "b"), (3, 1, "c")], "id long, replicas int, name string")
+    results = evaluate.evaluate(df.selectExpr("id", "name", "struct(replicas) as spec"), layer("s", LIMIT(5)), "id", keep={"name": "name"}).withColumn("resource_fingerprint", F.sha2("name", 256))
+    found = findings.findings(results, F.col("resource_id"))
+    rows = {r.resource_id: r for r in found.collect()}
+    want = [findings.Finding(r.policy_id, r.rule_id, r.resource_id, r.state, r.fingerprint, r.message, r.policy_set_id, r.path, r.actual, r.expected, None, "digest", "t.csv") for r in rows.values()]
+    got = [r.value for r in findings.to_jsonl(found, "digest", "t.csv").collect()]
+    assert len(got) == 2 and sorted(map(json.loads, got), key=str) == sorted(map(json.loads, findings.render(want, "jsonl").split("\n")), key=str)
+    assert all(list(json.loads(g)) == list(json.loads(findings.render(want[:1], "jsonl"))) for g in got)

@@ -15,10 +15,11 @@ from decimal import Decimal
 from functools import reduce
 from math import floor
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdictframe.functions.storage import free_names
 from verdictframe.plans.ir import (
     BOOLEAN, MAPPING, NULL, NUMBER, SEQUENCE, TEXT, CollectionPredicate, Comparison, Expression, FieldRef, Literal, Not, Num, Path, Refusal, Rule, Selector,
     dotted, expected_text, location_of, tag,
@@ -59,6 +60,7 @@ class Node:
     present: Column | None = None
     literal: object = None
     known: bool = False  # a literal
+    tag_column: Column | None = None  # its tag, where that is a column already
 
     @property
     def variant(self) -> bool:
@@ -68,6 +70,8 @@ class Node:
         """The tag as text, if it is the same for all rows that have the value, or as a column."""
         if self.known:
             return tag(self.literal)
+        if self.tag_column is not None:
+            return self.tag_column
         if self.variant:
             schema = F.schema_of_variant(self.column)
             return (
@@ -156,6 +160,17 @@ def _mapped(state: Column, names: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), state)
 
 
+def field_paths(e: Expression) -> list[Path]:
+    """The paths of the fields that an expression reads, without those of a collection's elements."""
+    if isinstance(e, FieldRef):
+        return [tuple(e.path)]
+    if isinstance(e, Not):
+        return field_paths(e.body)
+    if isinstance(e, Comparison):
+        return field_paths(e.left) + field_paths(e.right)
+    return field_paths(e.source) if isinstance(e, CollectionPredicate) else []
+
+
 class Compiler:
     """Compiles rules against the schema of a data set's rows, or against a VARIANT column that holds the rows or documents."""
 
@@ -163,6 +178,20 @@ class Compiler:
         self.schema, self.document = schema, document
         #: Without diagnostics a state is its name alone, which keeps plans of many rules small.
         self.diagnostics = diagnostics
+        #: Nodes of paths into VARIANT values that `project` has made columns.
+        self.places: dict[Path, Node] = {}
+
+    def project(self, df: DataFrame, *expressions: Expression | None) -> tuple[DataFrame, list[str]]:
+        """`df` with a column for the value and the tag of each path into a VARIANT that these expressions read, so that rules which read it
+        again don't look for it again; and the names of these columns."""
+        paths = [p for e in expressions if e is not None for p in field_paths(e)]
+        found = {p: n for p in dict.fromkeys(paths) if (n := self.root(p)) is not None and n.variant and n.present is not None}
+        names = free_names(df.columns, *[f"{kind}_{i}" for i in range(len(found)) for kind in ("place", "tag")])
+        values, tags = {}, {}
+        for (path, node), place, mark in zip(found.items(), names[::2], names[1::2]):
+            here = Node(node.kind, F.col(place), F.col(place).isNotNull(), tag_column=F.col(mark))
+            values[place], tags[mark], self.places[path] = node.column, Node(node.kind, F.col(place)).tag(), here
+        return (df.withColumns(values).withColumns(tags), names) if found else (df, [])
 
     def state(self, st: str, *details) -> Column:
         return _state(st, *details) if self.diagnostics else F.lit(st)
@@ -171,6 +200,8 @@ class Compiler:
         return _error(loc, msg, exp, act) if self.diagnostics else F.lit("ERR")
 
     def root(self, path: Path) -> Node | None:
+        if path in self.places:
+            return self.places[path]
         if self.document is not None:
             return descend(Node(T.VariantType(), F.col(_quoted(self.document))), path)
         if not path:

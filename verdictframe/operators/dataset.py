@@ -114,6 +114,7 @@ def evaluate_dataset(df: DataFrame, the_plan: DatasetPlan, ordinal: str, documen
     One projection and one aggregate, whose partial sums are a row for each task.
     """
     compiler, budget, cap = Compiler(df.schema, document), the_plan.row_budget, the_plan.cap
+    df, _ = compiler.project(df, *[e for _, r in the_plan.local for e in (r.expression, r.applies_when)])
     n = F.col(ordinal).cast("long")
     inside = n <= budget
     columns, aggs = [n.alias("_n"), inside.alias("_in")], [F.count(F.lit(1)).alias("_rows"), F.count_if("_in").alias("_consumed")]

@@ -18,6 +18,7 @@ def _results(df: DataFrame, policies: PolicySet, document: str | None) -> tuple[
     The states come first, each in a column of its own: a rule's result reads them several times.
     """
     compiler, rules = Compiler(df.schema, document), list(policies.rules())
+    df, places = compiler.project(df, *[e for _, r in rules for e in (r.expression, r.applies_when)])
     names = free_names(df.columns, *[f"{kind}_{i}" for i in range(len(rules)) for kind in ("body", "gate", "result")])
     states, results, out = {}, {}, []
     for (policy_id, r), body, gate, result in zip(rules, names[::3], names[1::3], names[2::3]):
@@ -26,7 +27,7 @@ def _results(df: DataFrame, policies: PolicySet, document: str | None) -> tuple[
             states[gate] = compiler.boolean(r.applies_when)
         results[result] = compiler.rule(r, F.col(body), None if r.applies_when is None else F.col(gate))
         out.append((policy_id, r, result))
-    return df.withColumns(states).withColumns(results).drop(*states), out
+    return df.withColumns(states).withColumns(results).drop(*states, *places), out
 
 
 def evaluate(df: DataFrame, policies: PolicySet, resource: str | Column, document: str | None = None, keep: dict[str, str | Column] | None = None) -> DataFrame:

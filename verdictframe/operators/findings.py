@@ -34,10 +34,16 @@ def findings(results: DataFrame, order: Column) -> DataFrame:
     return first_of(rows, KEY, "_order").drop("_order")
 
 
-def to_jsonl(found: DataFrame) -> DataFrame:
-    """`value`: a JSON object for each finding, fields in a fixed order."""
-    fields = [("violationId", "fingerprint"), ("policyId", "policy_id"), ("policySetId", "policy_set_id"), ("ruleId", "rule_id"), ("subjectRef", "resource_id"), ("path", "path"), ("actual", "actual"), ("expected", "expected"), ("message", "message"), ("remediation", "remediation"), ("severity", "severity"), ("state", "state"), ("resourceId", "resource_id"), ("fingerprint", "fingerprint")]
-    return found.select(F.to_json(F.struct(*[F.col(c).alias(n) for n, c in fields]), {"ignoreNullFields": "false"}).alias("value"))
+def to_jsonl(found: DataFrame, bundle_digest: str | None = None, source: str | None = None) -> DataFrame:
+    """`value`: a JSON object for each finding, with the fields of Finding in their order. Rows of a table have no anchor in their source."""
+    none = F.lit(None).cast("string")
+    fields = {
+        "violationId": "fingerprint", "policyId": "policy_id", "policySetId": "policy_set_id", "ruleId": "rule_id", "bundleDigest": F.lit(bundle_digest).cast("string"), "subjectRef": "resource_id",
+        "sourceAnchor": none, "path": "path", "actual": "actual", "expected": "expected", "message": "message", "remediation": "remediation", "severity": "severity", "state": "state",
+        "resourceId": "resource_id", "fingerprint": "fingerprint", "location": F.struct((F.lit(source) if source else F.col("resource_id")).alias("path")),
+    }
+    columns = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()]
+    return found.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
 @dataclass(frozen=True)
