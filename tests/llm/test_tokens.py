@@ -164,6 +164,29 @@ def test_packing_odd_rows(odd_docs, docs, vocabulary, tokenizer):
     assert packing.pack_along_curve(docs.limit(0), vocabulary).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_packing_by_language(spark, docs, texts, vocabulary, tokenizer, parts):
+    lang = {i: (None, "", "de", "en", "xx")[i % 5 if i % 11 else 0] for i in texts}
+    rows = spark.createDataFrame([(i, t, lang[i]) for i, t in texts.items()], "doc_id long, text string, lang string")
+    pieces = packing.pack_along_curve(rows, vocabulary, parts=parts, lang_col="lang").collect()
+    assert {p.doc_id for p in pieces} == set(texts) and all(p.lang == lang[p.doc_id] for p in pieces)
+    _check_pieces(pieces, texts, tokenizer)
+    (_, buf, off), = blocks(pa.record_batch({"text": pa.array(list(texts.values()))}), limit=1 << 30)
+    keys = dict(zip(texts, packing.curve_keys(buf, off).tolist()))
+    pieces.sort(key=lambda p: (p.sequence_id, p.offset))
+    place = [(lang[p.doc_id] is not None, lang[p.doc_id] or "", keys[p.doc_id], p.doc_id) for p in pieces]
+    assert [x[:3] for x in place] == sorted(x[:3] for x in place)  # over all ranges
+    within: dict[int, list] = {}
+    for p in pieces:
+        within.setdefault(p.sequence_id, []).append(p)
+    assert all(len({p.lang for p in s}) == 1 for s in within.values())
+    short: dict[tuple, list[int]] = {}
+    for i, s in within.items():
+        if (n := sum(p.length for p in s)) < 2048:
+            short.setdefault((i >> 32, s[0].lang), []).append(n)
+    assert all(len(set(x)) == len(x) for x in short.values())  # the binary digits of one rest
+
+
 def test_hilbert_curve_visits_neighbours():
     bits = 3
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * 3, indexing="ij"), -1).reshape(-1, 3)
