@@ -236,6 +236,24 @@ def test_a_unit_of_many_rows_reaches_over_partitions(spark):
     assert got == brute_spans(dict(rows)) and {i for i, _, _ in got} == set(range(2, 400))
 
 
+def test_repeats_of_a_common_unit_grow_in_proportion(spark):
+    line, made = prose(901, 70), {}
+    for n in (50, 100, 200):
+        df = spark.createDataFrame([(i, prose(2000 + i, 4) + " " + line) for i in range(n)], "doc_id long, text string").repartition(8)
+        spark.conf.set("spark.sql.shuffle.partitions", 37)
+        try:
+            later = substring_dedup.repeated_units(df)
+            rows = later.collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        made[n] = len(rows)
+        assert len({(r.doc_id, r.spot) for r in rows}) == len(rows) and all((r.first_doc_id, r.first_spot) < (r.doc_id, r.spot) for r in rows)
+        # repeats that a partition begins with go through the same join as the rest, and the table is read once
+        plan = later._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and "Union" not in plan and plan.count("parquet") == 1
+    assert made[200] - made[100] <= 2.2 * (made[100] - made[50])
+
+
 def test_rows_that_share_a_doc_id_are_cut_each_for_itself(spark):
     a, b, c = prose(500, 60), prose(501, 60), prose(502, 60)
     rows = [(1, a + " " + b), (2, c), (2, b + " " + c), (2, b + " " + c), (None, a)]

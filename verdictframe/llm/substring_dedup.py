@@ -119,10 +119,11 @@ def repeated_units(docs: DataFrame, **options) -> DataFrame:
         leads.append((r.part, *lead))
         before = (r.high, lead if r.low == r.high else (r.first_doc_id, r.first_tag, r.first_spot))
     side = F.broadcast(spark.createDataFrame(leads, "part int, l_doc long, l_tag long, l_spot long"))
-    place = ("doc_id", "tag", "spot", "first_doc_id", "first_spot")
-    plain = found.where(F.col("kind") == _REPEAT).select(*place)
-    led = found.where(F.col("kind") == _LEADING).join(side, "part").where("not (doc_id = l_doc and tag = l_tag and spot = l_spot)")
-    return plain.unionByName(led.select("doc_id", "tag", "spot", F.col("l_doc").alias("first_doc_id"), F.col("l_spot").alias("first_spot")))
+    # every row meets its partition's row, so as many come out as went in, less each lead itself
+    led = F.col("kind") == _LEADING
+    placed = found.where(F.col("kind") != _SUMMARY).join(side, "part").where(~led | F.expr("not (doc_id = l_doc and tag = l_tag and spot = l_spot)"))
+    first = lambda own, lead: F.when(led, F.col(lead)).otherwise(F.col(own)).alias(own)
+    return placed.select("doc_id", "tag", "spot", first("first_doc_id", "l_doc"), first("first_spot", "l_spot"))
 
 
 def repeated_spans(docs: DataFrame, *, min_bytes: int = MIN_BYTES, **options) -> DataFrame:
